@@ -5,6 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailbed.operators.flatten import found_rows, session_groups, session_tables
+from trailbed.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_rows(session_groups(table(spark, d, "raw_sessions")))
+
+
+def _flat_table(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return session_tables(session_groups(table(spark, d, "raw_sessions")))[name].withColumnRenamed("id", "line_no")
+
+    run.__name__ = f"p4_{name}"
+    query(run)
+
+
+for _name in ("messages", "blocks", "parts", "inputs"):
+    _flat_table(_name)
