@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailbed.llm.eval_leaks import leak_report
 from trailbed.llm.near_duplicates import NearDuplicates, record_text
+from trailbed.llm.packing import fill_report, pack, token_counts
 from trailbed.llm.shared_spans import shared_shares, shared_spans
 from trailbed.session import table
 
@@ -41,6 +42,16 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).groups()
 
 
+@query
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents")), table(spark, d, "pack_specs"))
+
+
+@query
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p5_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
