@@ -12,7 +12,7 @@ the same bound. The last round opens sequences for all that is left.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,6 +80,13 @@ def _pack_shard(pdf: pd.DataFrame, linear: float, quadratic: float, last: bool)
     return pdf.assign(seq=assign(lengths, capacity, sequences, linear, quadratic, last))
 
 
+def _packer(linear: float, quadratic: float, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def pack_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_shard(pdf, linear, quadratic, last)
+
+    return pack_one
+
+
 PIECE = "spec_id int, capacity int, doc_id long, piece int, first_token int, n_tokens int"
 
 
@@ -97,8 +104,9 @@ def pack(counts: DataFrame, specs: DataFrame, linear: float = 1.0, quadratic: fl
     if not given:
         return counts.sparkSession.createDataFrame([], "spec_id int, doc_id long, piece int, first_token int, n_tokens int, container string")
     each = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c in given])).alias("s")
+    counts = materialize(counts.select("doc_id", "n_tokens").filter("n_tokens > 0"), "p5-counts")
     pieces = (
-        counts.filter("n_tokens > 0").select("doc_id", "n_tokens", each).select("s.*", "doc_id", "n_tokens")
+        counts.select("doc_id", "n_tokens", each).select("s.*", "doc_id", "n_tokens")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int"))))
         .withColumn("first_token", F.col("piece") * F.col("capacity"))
         .withColumn("n_tokens", F.least("capacity", F.col("n_tokens") - F.col("first_token")))
@@ -114,7 +122,7 @@ def pack(counts: DataFrame, specs: DataFrame, linear: float = 1.0, quadratic: fl
         packed = materialize(
             pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), many[F.col("spec_id")]).cast("int"))
             .groupBy("spec_id", "shard")
-            .applyInPandas(lambda p, last=last: _pack_shard(p, linear, quadratic, last), PIECE + ", shard int, seq long"),
+            .applyInPandas(_packer(linear, quadratic, last), PIECE + ", shard int, seq long"),
             f"p5-round{k}",
         )
         part = packed.filter("seq >= 0").select("spec_id", "doc_id", "piece", "first_token", "n_tokens", F.concat_ws("-", F.lit(k), "shard", "seq").alias("container"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailbed.llm.credentials import find_secrets, redact_secrets
 from trailbed.llm.eval_leaks import leak_report
 from trailbed.llm.near_duplicates import NearDuplicates, record_text
 from trailbed.llm.packing import fill_report, pack, token_counts
@@ -22,6 +23,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_secrets(table(spark, d, "blocks")).select("block_id", "field", "secret").distinct()
+
+
+@query
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_secrets(table(spark, d, "blocks"))
+
+
 def _near_duplicates(spark: SparkSession, d: str) -> NearDuplicates:
     sessions = table(spark, d, "sessions").filter(F.size("messages") > 0)
     return NearDuplicates(sessions.select("rec_id", record_text().alias("text")))
