@@ -11,6 +11,7 @@ from trailbed.llm.credentials import find_secrets, redact_secrets
 from trailbed.llm.eval_leaks import leak_report
 from trailbed.llm.near_duplicates import NearDuplicates, record_text
 from trailbed.llm.packing import fill_report, pack, token_counts
+from trailbed.llm.personal import find_personal, given_names, redact_personal, texts_of, train
 from trailbed.llm.shared_spans import shared_shares, shared_spans
 from trailbed.session import table
 
@@ -33,6 +34,21 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_secrets(table(spark, d, "blocks"))
 
 
+def _personal(spark: SparkSession, d: str, run: Callable) -> DataFrame:
+    model = train(spark, given_names(table(spark, d, "given_names")))
+    return run(texts_of(table(spark, d, "blocks"), table(spark, d, "sessions")), model)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, find_personal).select("tab", "row_id", "kind", "val").distinct()
+
+
+@query
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, redact_personal)
+
+
 def _near_duplicates(spark: SparkSession, d: str) -> NearDuplicates:
     sessions = table(spark, d, "sessions").filter(F.size("messages") > 0)
     return NearDuplicates(sessions.select("rec_id", record_text().alias("text")))
