@@ -7,18 +7,84 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailbed.functions.text import ENTITY, action_kind, entities, is_blank, parent_key, parse_candidates, position_key
+from trailbed.operators import arms as A
+from trailbed.operators import audit, cohort, context, evaluation, scoring, selection, stats
+from trailbed.operators import entities as names
+from trailbed.operators.candidates import latest_candidates, long_candidates, long_scores
 from trailbed.operators.flatten import found_rows, session_groups, session_tables
+from trailbed.operators.positions import anchor_share, anchors, distinct_positions, latest_blocks, messages, positions
 from trailbed.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
 
 
+def sql(text: str) -> Callable[[Query], Query]:
+    """Registers a query with its SQL; the common views below may be used in it."""
+
+    def register(f: Query) -> Query:
+        used, todo = [], [text]
+        while todo:  # views that the text, or a view it uses, names
+            t = todo.pop()
+            for name, view in VIEWS.items():
+                if name in t and name not in used:
+                    used.append(name)
+                    todo.append(view)
+        views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in used)
+        body = text.strip()
+        if views:
+            body = f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
+        ORACLE[f.__name__] = body
+        return query(f)
+
+    return register
+
+
+# Views of the SQL side, each the counterpart of one operator.
+VIEWS = {
+    "v_blocks": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, msg_idx, block_idx ORDER BY block_id DESC) AS rn FROM blocks) WHERE rn = 1",
+    "v_pos": "SELECT *, sid || ':' || msg_idx || ':' || block_idx AS key FROM (SELECT DISTINCT * FROM positions)",
+    "v_anchor": "SELECT * FROM v_pos WHERE has_real_thinking AND regexp_replace(coalesce(real_thinking_summary, ''), '\\s', '', 'g') <> ''",
+    "v_cand": "SELECT key, candidates, provider FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(len(candidates), -1) DESC, coalesce(array_to_string(candidates, chr(1)), '') DESC, coalesce(provider, '') DESC) AS rn FROM candidates WHERE key IS NOT NULL) WHERE rn = 1",
+    "v_lcand": "SELECT key, provider, CAST(i - 1 AS INT) AS cand_idx, candidates[i] AS r FROM (SELECT *, unnest(range(1, len(candidates) + 1)) AS i FROM v_cand)",
+    "v_scores": "SELECT key, base, CAST(i - 1 AS INT) AS cand_idx, results[i].r AS r, results[i].s_suff AS s_suff, results[i].s_nat AS s_nat, coalesce(len(results[i].leak), 0) > 0 AS leaked FROM (SELECT *, unnest(range(1, len(results) + 1)) AS i FROM scores)",
+    "v_best": "SELECT key, cand_idx, r, s_suff FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(s_suff, -1e9) DESC, cand_idx) AS rn FROM v_scores WHERE NOT leaked) WHERE rn = 1",
+    "v_parts": "SELECT session_id, msg_idx, block_idx, CASE type WHEN 'text' THEN '[' || coalesce(role, '') || '] ' || coalesce(content, '') WHEN 'tool_use' THEN '[' || coalesce(role, '') || ' 调用 ' || coalesce(name, '?') || '] ' || left(coalesce(input, '{}'), 400) WHEN 'tool_result' THEN '[工具返回] ' || left(coalesce(content, ''), 800) END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result')",
+}
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return latest_blocks(table(spark, d, "blocks"))
+
+
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_positions(table(spark, d, "positions"))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return latest_candidates(table(spark, d, "candidates"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return long_scores(table(spark, d, "scores"))
+
+
+def _contexts(spark: SparkSession, d: str, max_chars: int, **how: object) -> DataFrame:
+    """(sid, msg_idx, context) of the given positions."""
+    at = _given(spark, d).select(F.col("sid").alias("session_id"), "msg_idx")
+    return context.contexts(context.rendered(_blocks(spark, d), **how), at, max_chars).withColumnRenamed("session_id", "sid")
+
+
+# Nested records (problem 4)
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found_rows(session_groups(table(spark, d, "raw_sessions")))
@@ -34,3 +100,458 @@ def _flat_table(name: str) -> None:
 
 for _name in ("messages", "blocks", "parts", "inputs"):
     _flat_table(_name)
+
+
+# Positions
+
+
+POSITIONS_SQL = """
+WITH own AS (SELECT * FROM v_blocks WHERE role = 'assistant' AND type IN ('tool_use', 'thinking')),
+m AS (SELECT session_id, msg_idx, min(block_idx) FILTER (type = 'tool_use') AS first_call,
+      arg_max(coalesce(content, ''), block_idx) FILTER (type = 'thinking') AS thinking FROM own GROUP BY ALL),
+p AS (SELECT o.session_id || ':' || o.msg_idx || ':' || o.block_idx AS key, o.session_id AS sid, o.msg_idx, o.block_idx,
+      CASE WHEN o.block_idx = m.first_call THEN left(m.thinking, 2000) END AS real_thinking_summary,
+      coalesce(o.name, '?') AS action_name, left(coalesce(o.input, '{}'), 1500) AS action_input, o.msg_idx AS n_prior_msgs
+      FROM own o JOIN m USING (session_id, msg_idx) WHERE o.type = 'tool_use')
+"""
+_IS_REAL = "regexp_replace(coalesce(real_thinking_summary, ''), '\\s', '', 'g') <> ''"
+
+
+@sql(POSITIONS_SQL + f"SELECT *, real_thinking_summary IS NOT NULL AS has_thinking_block, {_IS_REAL} AS has_real_thinking FROM p")
+def positions_extracted(spark: SparkSession, d: str) -> DataFrame:
+    return positions(_blocks(spark, d))
+
+
+@sql(POSITIONS_SQL + f"SELECT action_name, count(*) AS n_positions, round(avg(CAST({_IS_REAL} AS DOUBLE)), 6) AS anchored_share FROM p GROUP BY action_name")
+def anchor_share_by_action(spark: SparkSession, d: str) -> DataFrame:
+    return anchor_share(positions(_blocks(spark, d)))
+
+
+QUERIES["anchor_share"], ORACLE["anchor_share"] = QUERIES["anchor_share_by_action"], ORACLE["anchor_share_by_action"]
+
+
+@sql("SELECT key, regexp_replace(key, ':[^:]*$', '') AS short_key, action_name FROM v_pos")
+def position_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _given(spark, d).select("key", parent_key(F.col("key")).alias("short_key"), "action_name")
+
+
+@sql("SELECT rec_id, session_id, CAST(i - 1 AS INT) AS msg_idx, messages[i].role AS role, messages[i].content AS content FROM (SELECT *, unnest(range(1, len(messages) + 1)) AS i FROM sessions)")
+def session_messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages(table(spark, d, "sessions"))
+
+
+@sql("SELECT key, length(real_thinking_summary) AS n_chars FROM v_anchor")
+def anchor_rows(spark: SparkSession, d: str) -> DataFrame:
+    return anchors(_given(spark, d)).select("key", F.length("real_thinking_summary").cast("long").alias("n_chars"))
+
+
+# Contexts and prompts
+
+
+def _context_sql(n: int, parts: str = "v_parts") -> str:
+    return f"""
+WITH msg AS (SELECT session_id, msg_idx, string_agg(part, chr(10) ORDER BY block_idx) AS text FROM {parts} GROUP BY ALL),
+spot AS (SELECT DISTINCT sid, msg_idx FROM v_pos)
+SELECT a.sid, a.msg_idx, right(coalesce(string_agg(m.text, chr(10) ORDER BY m.msg_idx), ''), {n}) AS context
+FROM spot a LEFT JOIN msg m ON m.session_id = a.sid AND m.msg_idx < a.msg_idx GROUP BY a.sid, a.msg_idx"""
+
+
+@sql(_context_sql(9000))
+def context_9000(spark: SparkSession, d: str) -> DataFrame:
+    return _contexts(spark, d, 9000)
+
+
+@sql(_context_sql(24000, "(SELECT session_id, msg_idx, block_idx, CASE type WHEN 'text' THEN '[' || coalesce(role, '') || '] ' || coalesce(content, '') WHEN 'tool_use' THEN '[' || coalesce(role, '') || ' 调用 ' || coalesce(name, '?') || '] ' || left(coalesce(input, '{}'), 600) WHEN 'tool_result' THEN '[工具返回] ' || left(coalesce(content, ''), 1200) END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result'))"))
+def context_24000(spark: SparkSession, d: str) -> DataFrame:
+    return _contexts(spark, d, 24000, call_cap=600, result_cap=1200)
+
+
+@sql(_context_sql(60000, "(SELECT session_id, msg_idx, block_idx, CASE type WHEN 'tool_use' THEN coalesce(input, '{}') ELSE coalesce(content, '') END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result'))"))
+def context_untagged(spark: SparkSession, d: str) -> DataFrame:
+    return _contexts(spark, d, 60000, call_cap=None, result_cap=None, tagged=False)
+
+
+_KINDS_SQL = "CASE action_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__("trailbed.functions.text", fromlist=["x"]).ACTION_KINDS.items()) + " ELSE '调用某个工具' END"
+_ACTION_SQL = "'调用工具 ' || coalesce(action_name, '?') || ',参数: ' || left(coalesce(action_input, '{}'), 400)"
+
+
+@sql(f"SELECT key, {_ACTION_SQL} AS action, {_KINDS_SQL} AS kind FROM v_pos")
+def action_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _given(spark, d).select("key", context.action_text(F.col("action_name"), F.col("action_input")).alias("action"), action_kind(F.col("action_name")).alias("kind"))
+
+
+def _prompts(spark: SparkSession, d: str, template: str) -> DataFrame:
+    rows = _given(spark, d).join(_contexts(spark, d, 2000), ["sid", "msg_idx"])
+    return rows.select("key", context.prompts(template, F.col("context"), action_kind(F.col("action_name")), context.action_text(F.col("action_name"), F.col("action_input"))).alias("prompt"))
+
+
+def _prompts_sql(template: str) -> str:
+    fill = f"replace(replace(replace(replace('{template}', '{{n}}', '4'), '{{kind}}', {_KINDS_SQL}), '{{action}}', {_ACTION_SQL}), '{{context}}', context)"
+    return _context_sql(2000).replace("SELECT a.sid", ", c AS (SELECT a.sid", 1) + f") SELECT key, {fill} AS prompt FROM v_pos JOIN c USING (sid, msg_idx)"
+
+
+@sql(_prompts_sql(context.COARSE))
+def prompts_coarse(spark: SparkSession, d: str) -> DataFrame:
+    return _prompts(spark, d, context.COARSE)
+
+
+@sql(_prompts_sql(context.FULL))
+def prompts_full(spark: SparkSession, d: str) -> DataFrame:
+    return _prompts(spark, d, context.FULL)
+
+
+# Candidates and entities
+
+
+@sql("SELECT key, provider, cand_idx, r FROM v_lcand")
+def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
+    return long_candidates(_candidates(spark, d))
+
+
+@sql("""
+WITH raw AS (SELECT key, array_to_string(candidates, '###') AS raw FROM v_cand),
+x AS (SELECT key, unnest(string_split(coalesce(raw, ''), '###')) AS t FROM raw),
+y AS (SELECT key, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM x)
+SELECT key, count(*) FILTER (length(t) >= 15) AS n, coalesce(string_agg(left(replace(t, chr(10), ' '), 600), '|' ORDER BY left(replace(t, chr(10), ' '), 600)) FILTER (length(t) >= 15), '') AS texts FROM y GROUP BY key""")
+def candidate_parse(spark: SparkSession, d: str) -> DataFrame:
+    got = _candidates(spark, d).select("key", parse_candidates(F.array_join("candidates", "###")).alias("c"))
+    return got.select("key", F.size("c").cast("long").alias("n"), F.array_join(F.array_sort("c"), "|").alias("texts"))
+
+
+def _ents_sql(c: str) -> str:
+    pattern = ENTITY.replace("'", "''")
+    return f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce({c}, ''), '{pattern}'), lambda x: lower(trim(x)))), lambda x: x NOT IN ('tool_use', 'tool_result', 'assistant', 'user_id', 'session_id'))"
+
+
+@sql(f"SELECT key, array_to_string(list_sort({_ents_sql('action_input')}), '|') AS entities FROM v_pos")
+def action_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _given(spark, d).select("key", F.array_join(F.array_sort(entities(F.col("action_input"))), "|").alias("entities"))
+
+
+_UNTAGGED = "SELECT session_id, msg_idx, CASE type WHEN 'tool_use' THEN coalesce(input, '{}') ELSE coalesce(content, '') END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result')"
+SECRETS_SQL = f"""
+WITH seen AS (SELECT session_id, entity, min(msg_idx) AS seen_at FROM (SELECT session_id, msg_idx, unnest({_ents_sql('part')}) AS entity FROM ({_UNTAGGED})) GROUP BY ALL),
+own AS (SELECT key, sid, msg_idx, unnest({_ents_sql("action_name || ' ' || action_input")}) AS entity FROM v_pos),
+secret AS (SELECT DISTINCT key, own.entity FROM own LEFT JOIN seen ON seen.session_id = own.sid AND seen.entity = own.entity WHERE seen_at IS NULL OR seen_at >= own.msg_idx)
+"""
+
+
+def _secrets(spark: SparkSession, d: str) -> DataFrame:
+    parts = context.rendered(_blocks(spark, d), None, None, tagged=False)
+    return names.secrets(_given(spark, d), names.first_seen(parts)).distinct()
+
+
+@sql(SECRETS_SQL + "SELECT key, entity FROM secret")
+def secret_set(spark: SparkSession, d: str) -> DataFrame:
+    return _secrets(spark, d)
+
+
+LEAKS_SQL = SECRETS_SQL + f""", hit AS (SELECT c.key, cand_idx, entity FROM (SELECT key, cand_idx, unnest({_ents_sql('r')}) AS entity FROM v_lcand) c JOIN secret USING (key, entity)),
+leak AS (SELECT c.key, c.cand_idx, coalesce(string_agg(entity, '|' ORDER BY entity), '') AS leak FROM v_lcand c LEFT JOIN hit h ON h.key = c.key AND h.cand_idx = c.cand_idx GROUP BY ALL)
+"""
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return names.leaks(long_candidates(_candidates(spark, d)), _secrets(spark, d))
+
+
+@sql(LEAKS_SQL + "SELECT * FROM leak")
+def leak_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).withColumn("leak", F.array_join("leak", "|"))
+
+
+@sql(LEAKS_SQL + """SELECT count(*) AS n, count(*) FILTER (leak <> '') AS n_leaked, count(*) FILTER (coalesce(s_suff >= 3, false)) AS n_by_score,
+count(*) FILTER (coalesce(s_suff >= 3, false) AND leak = '') AS n_by_score_clean FROM leak LEFT JOIN v_scores USING (key, cand_idx)""")
+def leak_report(spark: SparkSession, d: str) -> DataFrame:
+    return names.leak_report(_leaks(spark, d), _scores(spark, d))
+
+
+# Ledger, cohorts and samples
+
+
+@sql("SELECT key, sid, msg_idx, block_idx FROM v_pos WHERE key NOT IN (SELECT key FROM candidates WHERE key IS NOT NULL)")
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.pending(_given(spark, d), table(spark, d, "candidates")).select("key", "sid", "msg_idx", "block_idx")
+
+
+@sql("SELECT session_id, count(*) AS n_blocks FROM v_blocks WHERE session_id IN (SELECT sid FROM v_anchor) GROUP BY session_id")
+def needed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    need = anchors(_given(spark, d)).select(F.col("sid").alias("session_id"))
+    return _blocks(spark, d).join(need, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("n_blocks"))
+
+
+@sql("SELECT sid, count(*) AS n_anchors FROM v_anchor GROUP BY sid ORDER BY n_anchors DESC, sid LIMIT 300")
+def cohort_top_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.top_sessions(anchors(_given(spark, d)))
+
+
+@sql("WITH top AS (SELECT sid FROM v_anchor GROUP BY sid ORDER BY count(*) DESC, sid LIMIT 300) SELECT key, action_name FROM v_pos WHERE sid IN (SELECT sid FROM top)")
+def cohort_positions(spark: SparkSession, d: str) -> DataFrame:
+    given = _given(spark, d)
+    return cohort.of_sessions(given, cohort.top_sessions(anchors(given))).select("key", "action_name")
+
+
+@sql("SELECT key FROM v_pos WHERE key NOT IN (SELECT key FROM candidates WHERE key IS NOT NULL) ORDER BY sid, msg_idx, block_idx LIMIT 500")
+def first_pending(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.first_rows(cohort.pending(_given(spark, d), table(spark, d, "candidates")), 500, "sid", "msg_idx", "block_idx").select("key")
+
+
+@query
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = anchors(_given(spark, d))
+    return cohort.first_rows(rows, 500, cohort.seeded_order(F.col("key"), 7), "key").select("key")
+
+
+@query
+def shard_partition(spark: SparkSession, d: str) -> DataFrame:
+    rows = _given(spark, d).select("key")
+    parts = [rows.filter(cohort.in_shard(F.col("key"), i, 4)).withColumn("shard", F.lit(i)) for i in range(4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+# Selection and statistics
+
+
+@sql("SELECT key, cand_idx, r, s_suff FROM v_best")
+def best_of_group(spark: SparkSession, d: str) -> DataFrame:
+    return selection.best_of_group(_scores(spark, d))
+
+
+@sql("WITH g AS (SELECT key, count(*) AS n, count(*) FILTER (leaked) AS bad FROM v_scores GROUP BY key) SELECT count(*) AS positions, CAST(coalesce(sum(bad), 0) AS BIGINT) AS leaked_candidates, count(*) FILTER (n = bad) AS all_leaked, count(*) FILTER (n > bad) AS selected FROM g")
+def selection_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return selection.funnel(_scores(spark, d))
+
+
+@sql("SELECT key, cand_idx, s_suff, s_nat, coalesce(s_suff >= 1.0 AND s_nat >= -2.5, false) AS passed FROM v_scores")
+def dual_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return selection.dual_verdict(_scores(spark, d)).select("key", "cand_idx", "s_suff", "s_nat", "passed")
+
+
+@sql("WITH c AS (SELECT * FROM v_scores WHERE NOT leaked AND s_suff IS NOT NULL), b AS (SELECT median(s) AS m FROM (SELECT max(s_suff) AS s FROM c GROUP BY key)), o AS (SELECT median(s_suff) AS m FROM c) SELECT round(b.m, 6) AS median_best, round(o.m, 6) AS median_single, round(b.m - o.m, 6) AS gain FROM b, o")
+def best_minus_single_median(spark: SparkSession, d: str) -> DataFrame:
+    return selection.best_minus_single(_scores(spark, d))
+
+
+@sql("SELECT leaked, round(median(s_suff), 6) AS median_s_suff, round(median(s_nat), 6) AS median_s_nat FROM v_scores GROUP BY leaked")
+def score_medians(spark: SparkSession, d: str) -> DataFrame:
+    return stats.medians(_scores(spark, d), ["s_suff", "s_nat"], ["leaked"])
+
+
+@sql("WITH s AS (SELECT s_suff AS v, row_number() OVER (ORDER BY s_suff) - 1 AS i, count(*) OVER () AS n FROM v_scores WHERE s_suff IS NOT NULL), q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS q) SELECT q, round(v, 6) AS value FROM q JOIN s ON i = floor(n * q)")
+def index_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.index_quantiles(_scores(spark, d), "s_suff")
+
+
+@sql("WITH t AS (SELECT unnest([0, 1, 2, 3, 5])::DOUBLE AS threshold) SELECT threshold, count(*) AS n, count(*) FILTER (s_suff >= threshold) AS n_pass, round(avg((s_suff >= threshold)::INT::DOUBLE), 6) AS share FROM v_scores, t WHERE s_suff IS NOT NULL GROUP BY threshold")
+def threshold_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pass_rates(_scores(spark, d), "s_suff", [0, 1, 2, 3, 5])
+
+
+@sql("WITH t AS (SELECT unnest([-2, -1.5, -1.2, -1])::DOUBLE AS threshold), v AS (SELECT base / greatest(length(action_input), 1) AS b FROM scores JOIN v_pos USING (key)) SELECT threshold, count(*) AS n, count(*) FILTER (b <= threshold) AS n_pass, round(avg((b <= threshold)::INT::DOUBLE), 6) AS share FROM v, t WHERE b IS NOT NULL GROUP BY threshold")
+def position_value_funnel(spark: SparkSession, d: str) -> DataFrame:
+    value = table(spark, d, "scores").join(_given(spark, d), "key").select((F.col("base") / F.greatest(F.length("action_input"), F.lit(1))).alias("b"))
+    return stats.pass_rates(value, "b", [-2, -1.5, -1.2, -1], at_least=False)
+
+
+@sql("WITH a AS (SELECT key, s_suff FROM v_scores WHERE cand_idx = 0), b AS (SELECT key, s_suff FROM v_scores WHERE cand_idx = 1) SELECT count(*) AS n, round(avg(CASE WHEN a.s_suff IS NOT NULL AND b.s_suff IS NOT NULL THEN (a.s_suff > b.s_suff)::INT::DOUBLE END), 6) AS win_rate FROM a JOIN b USING (key)")
+def win_rate(spark: SparkSession, d: str) -> DataFrame:
+    pair = _scores(spark, d).groupBy("key").agg(F.max(F.when(F.col("cand_idx") == 0, F.col("s_suff"))).alias("a"), F.max(F.when(F.col("cand_idx") == 1, F.col("s_suff"))).alias("b"), F.max("cand_idx").alias("k"))
+    return pair.filter("k >= 1").agg(F.count("*").alias("n"), stats.win_rate(F.col("a"), F.col("b")).alias("win_rate"))
+
+
+@sql("SELECT CAST(CASE WHEN s_suff = 20 THEN 19 ELSE floor((s_suff + 20) / 2) END AS INT) AS bin, count(*) AS n FROM v_scores WHERE s_suff BETWEEN -20 AND 20 GROUP BY 1")
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(_scores(spark, d), "s_suff", -20, 20, 20)
+
+
+# Controls
+
+
+@sql("WITH l AS (SELECT sid, arg_max(key, msg_idx * 100000 + block_idx) AS last_key, arg_max(real_thinking_summary, msg_idx * 100000 + block_idx) AS future FROM v_anchor GROUP BY sid) SELECT key, future FROM v_anchor JOIN l USING (sid) WHERE key <> last_key")
+def future_negative(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.with_future(anchors(_given(spark, d))).select("key", "future")
+
+
+@sql("WITH f AS (SELECT sid, arg_min(real_thinking_summary, key) AS lend FROM v_anchor GROUP BY sid), r AS (SELECT sid, coalesce(lead(lend) OVER (ORDER BY sid), CASE WHEN count(*) OVER () > 1 THEN first_value(lend) OVER (ORDER BY sid) END) AS other FROM f) SELECT key, other FROM v_anchor JOIN r USING (sid)")
+def mismatch_negative(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.mismatched(anchors(_given(spark, d))).select("key", "other")
+
+
+# Arms and turns
+
+
+ARMS_SQL = """
+WITH msg AS (SELECT session_id, msg_idx, bool_or(type = 'thinking' AND regexp_replace(coalesce(content, ''), '\\s', '', 'g') <> '') AS has, min(block_idx) FILTER (type = 'tool_use') AS call FROM v_blocks WHERE role = 'assistant' GROUP BY ALL),
+fill AS (SELECT m.session_id, m.msg_idx, b.r AS chosen, coalesce(b.r, c.candidates[1]) AS dense FROM msg m
+  LEFT JOIN v_best b ON b.key = m.session_id || ':' || m.msg_idx || ':' || m.call LEFT JOIN v_cand c ON c.key = m.session_id || ':' || m.msg_idx || ':' || m.call WHERE NOT has AND call IS NOT NULL),
+x AS (SELECT v.*, chosen, dense FROM v_blocks v LEFT JOIN fill USING (session_id, msg_idx)),
+arms AS (
+  SELECT 'B_minus' AS arm, session_id, msg_idx, block_idx, role, type, name, content, input, false AS filled FROM x WHERE type <> 'thinking' OR role <> 'assistant'
+  UNION ALL SELECT 'B', session_id, msg_idx, block_idx, role, type, name, content, input, false FROM x
+  UNION ALL SELECT 'R', session_id, msg_idx, block_idx, role, type, name, content, input, false FROM x WHERE NOT (type = 'thinking' AND chosen IS NOT NULL)
+  UNION ALL SELECT 'R_dense', session_id, msg_idx, block_idx, role, type, name, content, input, false FROM x WHERE NOT (type = 'thinking' AND dense IS NOT NULL)
+  UNION ALL SELECT 'R', session_id, msg_idx, -1, 'assistant', 'thinking', NULL, chosen, NULL, true FROM fill WHERE chosen IS NOT NULL
+  UNION ALL SELECT 'R_dense', session_id, msg_idx, -1, 'assistant', 'thinking', NULL, dense, NULL, true FROM fill WHERE dense IS NOT NULL)
+"""
+
+
+def _arms(spark: SparkSession, d: str) -> DataFrame:
+    return A.arm_blocks(_blocks(spark, d), selection.best_of_group(_scores(spark, d)), _candidates(spark, d))
+
+
+@sql(ARMS_SQL + "SELECT * FROM arms")
+def arms_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _arms(spark, d)
+
+
+@sql(ARMS_SQL + "SELECT arm, count(*) AS n_blocks, count(*) FILTER (type = 'thinking') AS n_thinking, count(*) FILTER (filled) AS n_filled FROM arms GROUP BY arm")
+def arm_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.arm_counts(_arms(spark, d))
+
+
+_TURNS_SQL = """, ch AS (SELECT *, CASE WHEN who IS DISTINCT FROM lag(who) OVER (PARTITION BY {s} ORDER BY msg_idx) THEN 1 ELSE 0 END AS c FROM t),
+g AS (SELECT *, sum(c) OVER (PARTITION BY {s} ORDER BY msg_idx) AS turn FROM ch),
+merged AS (SELECT {s}, CAST(turn AS BIGINT) AS turn, max(who) AS who, string_agg(value, chr(10) ORDER BY msg_idx) AS value FROM g GROUP BY {s}, turn)
+SELECT * FROM merged UNION ALL SELECT {s}, 0, 'human', '(continue)' FROM merged WHERE turn = 1 AND who = 'gpt'"""
+
+
+@sql("WITH t AS (SELECT rec_id, CAST(i - 1 AS INT) AS msg_idx, CASE WHEN messages[i].role = 'user' THEN 'human' ELSE 'gpt' END AS who, coalesce(messages[i].content, '') AS value FROM (SELECT *, unnest(range(1, len(messages) + 1)) AS i FROM sessions))" + _TURNS_SQL.format(s="rec_id"))
+def sharegpt_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = messages(table(spark, d, "sessions")).select("rec_id", "msg_idx", F.when(F.col("role") == "user", "human").otherwise("gpt").alias("who"), F.coalesce("content", F.lit("")).alias("value"))
+    return A.merged_turns(rows, "rec_id")
+
+
+@sql("""
+WITH s AS (SELECT session_id, msg_idx, block_idx, role, CASE type WHEN 'text' THEN content WHEN 'thinking' THEN CASE WHEN regexp_replace(coalesce(content, ''), '\\s', '', 'g') <> '' THEN '<thinking>' || chr(10) || regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || '</thinking>' END
+  WHEN 'tool_use' THEN '<tool_use name="' || coalesce(name, '?') || '">' || chr(10) || coalesce(input, '{}') || chr(10) || '</tool_use>' WHEN 'tool_result' THEN '<tool_result>' || chr(10) || coalesce(content, '') || chr(10) || '</tool_result>' END AS value FROM v_blocks),
+t AS (SELECT session_id, msg_idx, CASE WHEN max(role) = 'assistant' THEN 'gpt' ELSE 'human' END AS who, string_agg(value, chr(10) ORDER BY block_idx) AS value FROM s WHERE value IS NOT NULL AND value <> '' GROUP BY session_id, msg_idx)""" + _TURNS_SQL.format(s="session_id"))
+def sharegpt_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return A.merged_turns(A.block_turns(_blocks(spark, d)), "session_id")
+
+
+# Scores by the stand-in
+
+
+def _score_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = long_candidates(_candidates(spark, d)).join(_given(spark, d), "key").join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    return rows.select("key", "cand_idx", "context", context.action_text(F.col("action_name"), F.col("action_input")).alias("action"), "r")
+
+
+_TOK = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
+
+
+def _lp_sql(rows: str, ids: str) -> str:
+    """Stand-in log-probability in SQL; rows has ids, prefix, target."""
+    return f"""(SELECT {ids}, sum(ln((coalesce(c, 0) + 1) / (np + 10000.0))) AS logprob, count(*) AS n_tok FROM (
+  SELECT {ids}, np, t, (SELECT count(*) FROM unnest(pt) u(w) WHERE w = t) AS c FROM (SELECT {ids}, {_TOK.format('prefix')} AS pt, len({_TOK.format('prefix')}) AS np, unnest({_TOK.format('target')}) AS t FROM {rows})) GROUP BY {ids})"""
+
+
+@sql(_context_sql(1000).replace("SELECT a.sid", ", ctx AS (SELECT a.sid", 1) + f"""),
+rows AS (SELECT l.key, l.cand_idx, l.r, c.context, {_ACTION_SQL} AS action FROM v_lcand l JOIN v_pos USING (key) JOIN ctx c USING (sid, msg_idx)),
+b0 AS (SELECT DISTINCT key, context AS prefix, action AS target FROM rows), s0 AS (SELECT key, cand_idx, context || chr(10) || r AS prefix, action AS target FROM rows), n0 AS (SELECT key, cand_idx, context AS prefix, r AS target FROM rows)
+SELECT s.key, s.cand_idx, round(b.logprob, 6) AS base, round(s.logprob - b.logprob, 6) AS s_suff, round(n.logprob / n.n_tok, 6) AS s_nat
+FROM {_lp_sql('s0', 'key, cand_idx')} s JOIN {_lp_sql('n0', 'key, cand_idx')} n USING (key, cand_idx) JOIN {_lp_sql('b0', 'key')} b USING (key)""")
+def stand_in_scores(spark: SparkSession, d: str) -> DataFrame:
+    got = scoring.score_rationales(_score_rows(spark, d), scoring.stand_in())
+    return got.select("key", "cand_idx", *[F.round(c, 6).alias(c) for c in ("base", "s_suff", "s_nat")])
+
+
+@query
+def intrinsic_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _given(spark, d).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    think = rows.filter(~is_blank(F.col("real_thinking_summary"))).select(F.lit("think").alias("tag"), F.col("context").alias("prefix"), F.left("real_thinking_summary", F.lit(800)).alias("target"))
+    act = rows.select(F.lit("action").alias("tag"), F.col("context").alias("prefix"), context.action_text(F.col("action_name"), F.col("action_input")).alias("target"))
+    return evaluation.intrinsic(think.unionByName(act), scoring.stand_in())
+
+
+def _top1(spark: SparkSession, d: str) -> DataFrame:
+    cases, tools = evaluation.tool_cases(_given(spark, d))
+    return evaluation.action_top1(cases, tools, _contexts(spark, d, 1000), scoring.stand_in())
+
+
+@query
+def action_top1(spark: SparkSession, d: str) -> DataFrame:
+    return _top1(spark, d)
+
+
+@query
+def per_tool_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.accuracy(_top1(spark, d))
+
+
+@query
+def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Sufficiency of each anchor's own reasoning against another session's, by the stand-in."""
+    a = scoring.mismatched(anchors(_given(spark, d))).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    action = context.action_text(F.col("action_name"), F.col("action_input")).alias("action")
+    long = a.select("key", "context", action, F.posexplode(F.array("real_thinking_summary", "other")).alias("cand_idx", "r")).filter("r IS NOT NULL")
+    s = scoring.score_rationales(long, scoring.stand_in())
+    pair = s.groupBy("key").agg(F.max(F.when(F.col("cand_idx") == 0, F.col("s_suff"))).alias("own"), F.max(F.when(F.col("cand_idx") == 1, F.col("s_suff"))).alias("other"))
+    return pair.agg(F.count("*").alias("n"), F.round(F.median("own"), 6).alias("median_own"), F.round(F.median("other"), 6).alias("median_other"), stats.win_rate(F.col("own"), F.col("other")).alias("win_rate"))
+
+
+# Datasheet, cost and audit
+
+
+@sql("""
+WITH turn AS (SELECT session_id, msg_idx, count(*) FILTER (type = 'thinking') AS n, count(*) FILTER (type = 'thinking' AND regexp_replace(coalesce(content, ''), '\\s', '', 'g') = '') AS e FROM v_blocks WHERE role = 'assistant' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY msg_idx DESC) AS k FROM turn)
+SELECT CASE WHEN k = 1 THEN 'last' WHEN k = 2 THEN 'second_last' WHEN k <= 5 THEN '3rd_to_5th' ELSE 'earlier' END AS place, count(*) AS turns, CAST(sum(n) AS BIGINT) AS thinking_blocks, CAST(sum(e) AS BIGINT) AS empty_blocks,
+round(sum(e) / greatest(sum(n), 1), 6) AS empty_rate, round(100.0 * (sum(n) - sum(e)) / count(*), 6) AS nonempty_per_100_turns FROM r GROUP BY 1""")
+def density_by_place(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.density(_blocks(spark, d))
+
+
+@sql("WITH p AS (SELECT session_id, bool_or(type = 'thinking' AND regexp_replace(coalesce(content, ''), '\\s', '', 'g') <> '') AS h FROM v_blocks GROUP BY session_id) SELECT count(*) AS n_sessions, round(avg((NOT h)::INT::DOUBLE), 6) AS share_without FROM p")
+def sessions_without_reasoning(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.sessions_without_reasoning(_blocks(spark, d))
+
+
+@sql("SELECT coalesce(model, '?') AS model, count(*) AS n_records, count(DISTINCT session_id) AS n_sessions, CAST(sum(coalesce(length(system), 0)) AS BIGINT) AS system_chars FROM sessions GROUP BY 1")
+def records_by_model(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sessions").groupBy(F.coalesce("model", F.lit("?")).alias("model")).agg(
+        F.count("*").alias("n_records"), F.count_distinct("session_id").alias("n_sessions"), F.sum(F.coalesce(F.length("system"), F.lit(0))).alias("system_chars")
+    )
+
+
+@sql("WITH t AS (SELECT CAST(length(action_input) // 4 AS BIGINT) AS i, CAST(coalesce(length(real_thinking_summary), 0) // 4 AS BIGINT) AS o FROM v_pos) SELECT count(*) AS n, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round((sum(i) * 0.209 + sum(o) * 0.31) / 1e6, 6) AS usd, round((sum(i) * 0.209 + sum(o) * 0.31) / 1e6 / count(*), 9) AS usd_per_row, round((sum(i) * 0.209 + sum(o) * 0.31) / 1e6 / count(*) * 40000, 6) AS usd_projected FROM t")
+def cost_projection(spark: SparkSession, d: str) -> DataFrame:
+    quarter = lambda c: F.floor(F.coalesce(F.length(c), F.lit(0)) / 4)
+    rows = _given(spark, d).select(quarter("action_input").alias("i"), quarter("real_thinking_summary").alias("o"))
+    return evaluation.cost(rows, "i", "o")
+
+
+@sql("""
+WITH m AS (SELECT 'positions' AS claim, count(*)::DOUBLE AS value FROM v_pos UNION ALL SELECT 'anchored percent', 100 * avg(has_real_thinking::INT::DOUBLE) FROM v_pos UNION ALL SELECT 'candidate keys', count(*)::DOUBLE FROM v_cand),
+c AS (SELECT claim, CASE claim WHEN 'positions' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '22%' END AS stated FROM m WHERE claim <> 'candidate keys' UNION ALL SELECT 'sessions', '1.2k'),
+n AS (SELECT c.claim, stated, CASE WHEN stated LIKE '%k' THEN 1200.0 ELSE CAST(replace(stated, '%', '') AS DOUBLE) END AS number, value FROM c LEFT JOIN m USING (claim))
+SELECT claim, stated, number::DOUBLE AS number, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'missing' WHEN abs(number - value) <= CASE WHEN claim = 'positions' THEN 0 ELSE 0.01 * abs(number) END THEN 'ok' ELSE 'differs' END AS verdict FROM n""")
+def claims_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    given = _given(spark, d)
+    measured = given.agg(F.count("*").cast("double").alias("positions"), (100 * F.avg(F.col("has_real_thinking").cast("double"))).alias("share"))
+    pair = lambda c, v: F.struct(F.lit(c).alias("claim"), v.alias("value"))
+    metrics = measured.select(F.explode(F.array(pair("positions", F.col("positions")), pair("anchored percent", F.col("share")))).alias("m")).select("m.*")
+    stated = F.when(F.col("claim") == "positions", F.col("value").cast("long").cast("string")).otherwise("22%")
+    claims = metrics.select("claim", stated.alias("stated")).unionByName(measured.select(F.lit("sessions").alias("claim"), F.lit("1.2k").alias("stated"))).withColumn("tolerance", F.lit(0.01))
+    return audit.verify_claims(claims, metrics)
+
+
+@query
+def markdown_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return audit.table_rows(table(spark, d, "documents"), "doc_id", "text")
+
+
+@sql("SELECT doc_id, count(*) FILTER (NOT regexp_matches(line, '^\\s*(?:#|%|//)') AND trim(line) <> '') AS n_code_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY doc_id HAVING count(*) FILTER (NOT regexp_matches(line, '^\\s*(?:#|%|//)') AND trim(line) <> '') > 0")
+def code_line_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.code_lines(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_code_lines"))
+
+
+@query
+def number_literals(spark: SparkSession, d: str) -> DataFrame:
+    code = table(spark, d, "documents").filter("lower(trim(source)) = 'code_file'")
+    return audit.number_literals(code, "doc_id", "text", ["0", "1", "2"])
+
+
+@sql("SELECT doc_id, CAST(len(regexp_extract_all(text, 'TODO|FIXME|TBD|XXX|\\?\\?')) AS INT) AS n_marks FROM documents WHERE text IS NOT NULL")
+def placeholder_marks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", audit.placeholders(F.col("text")).alias("n_marks"))
