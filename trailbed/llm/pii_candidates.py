@@ -18,7 +18,7 @@ class Span(NamedTuple):
 _WORD = r"[A-Za-z0-9_+%-]+"
 EMAIL = re.compile(rf"(?<![\w.+%-]){_WORD}(?:\.{_WORD})*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 EMAIL_SPELLED = re.compile(
-    rf"(?<![\w.+%-]){_WORD}(?:(?:\.| ?[\[(](?:dot|punkt|punto|点)[\])] ?){_WORD})* ?(?:[\[({{](?:at|ät|arroba)[\])}}]|\bAT\b| at (?=[a-z0-9-]+ dot )) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({{](?:dot|punkt|punto)[\])}}] ?| dot | DOT )[A-Za-z0-9-]+)*", re.I
+    rf"(?<![\w.+%-]){_WORD}(?:(?:\.| ?[\[(](?:dot|punkt|punto|点)[\])] ?){_WORD})* ?(?:[\[({{](?:at|ät|arroba)[\])}}]|(?-i:\bAT\b)| at (?=[a-z0-9-]+ dot )) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({{](?:dot|punkt|punto)[\])}}] ?| dot | DOT )[A-Za-z0-9-]+)*", re.I
 )
 PHONE = re.compile(r"(?<![\w.+\-/#])(?<!\d:)(?:\+\d{1,3}|\(\+?\d{1,4}\)|\d{2,14})(?:[ .\-/]{0,2}(?:\(\d{1,4}\)|\d{1,12})){0,6}(?![\w])")
 IDS = tuple(
@@ -190,8 +190,9 @@ def features(text: str, s: Span, given: frozenset[str]) -> list[float]:
         float(person and bool(before) and before.group(1)[0].isupper()), float(person and bool(before) and before.group(1).strip(".").lower() in NOT_NAMES), float(person and bool(before) and before.group(1).lower() in given), float(s.kind >= 3 and bool(after) and after.group(1)[0].isupper()), float(s.kind >= 3 and bool(after) and after.group(1).strip(".").lower() in NOT_NAMES),
         float(person and bool(re.match(r", [A-ZÀ-Þ]", near))), float(person and bool(re.search(r"[A-ZÀ-Þ][\w-]*, $", left))),
         float(cjk), float(cjk and val[0] in SURNAMES), float(cjk and len(val) == 2), float(cjk and len(val) == 3), float(cjk and "一" <= left[-1:] <= "鿿"), float(cjk and "一" <= right[:1] <= "鿿"),
-        float(person and bool(re.match(r"\d", left[-1:]) or re.match(r"(?:\d+[A-Za-z]? |rue |Calle |des )", left[-6:]))), float(person and bool(re.match(r" (?:St\.|Street|Ave|Avenue|Blvd|Drive|Road|Lane|Court|Mews|Close|Way)|,? \d| \d", near))),
+        float(person and bool(re.match(r"\d", left[-1:]) or re.match(r"(?:\d+[A-Za-z]? |rue |Calle |des )", left[-6:]))), sum(bool(re.search(r"[a-z][A-Z]", t)) for t in tokens) if person else 0, float(person and bool(re.search(r"(?:import|class|await|new|return|raise|from|def|func) $|[=({\[] ?$", left))),
+        float(person and bool(re.match(r" (?:St\.|Street|Ave|Avenue|Blvd|Drive|Road|Lane|Court|Mews|Close|Way)|,? \d| \d", near))),
     ]
 
 
-N_FEATURES = 76
+N_FEATURES = 78

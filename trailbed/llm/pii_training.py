@@ -47,6 +47,7 @@ _DECOYS = (
     "That {W}Error comes from the {w} in {v}_{w}.|Can you check why {path} fails with {W}Error on line {n}?|The {w} page shows {n} items although {w} sent {n}.|Die Datei {path} gehört dem Team {w}, bitte nicht anfassen.|Der Test für {W} läuft lokal, aber nicht im {w}.|El {w} de {path} llama a {W} antes de tiempo.|Faltan {n} filas cuando el {w} está vacío.|La prueba de {W} pasa en local pero no en el {w}.|Bitte prüfe, warum {path} in Zeile {n} mit {W}Error abbricht.|"
     "需要重试空的窗口，否则会话会多出 {n} 条。|测试在本地通过，但调度器任务在第 {n} 次拆分时超时。|把窗口上限设成 {n}，连接池上限设成 {n2}。|下一步：跳过窗口，把 {v}_{w} 改名为 {W}。|文档里说记录可以重复锁定，这和 {path} 矛盾。|看起来 {v}_{w} 从来没有压缩过解析器。|改完以后依赖从 {n} 毫秒降到 {n1} 毫秒。|登录口令：{hex}|这个错误来自默认的脚本，第 {n} 行附近。|"
     "Next step: {v} the {w}, rename {v}_{w} to {W}, and rerun.|Reading {path} shows that the {w} is cold by design.|First I'd like to reproduce the {W}Error with a warm {w}.|Visual Studio Code on Windows Server, Apache Spark on Amazon Linux|New York and San Francisco regions use Google Cloud|Content-Type: application/json; Accept-Language: en|version 12.345.678.901 of {w}, serial {long}{n}|order 4{long}, invoice {n5}{n}, ticket {n}-{n5}|card ending {n}, code {n}-{n}-{n}|ISBN 978-3-{n}-{n}-1|"
+    "from {w}.{w} import {W}, {W}|from {w}.{w} import {v}_{w}, {W}|Now {W} and {v}_{w} share one {w}.|Now {W} and {W} share one {w}.|import {W}, {W}|Why does {W} need a {w} at all?|Added a guard so {W} skips a cold {w}.|"
     "BEGIN:VCARD|VERSION:3.0|END:VCARD|Thanks,|Best regards,|Saludos,|Step {n1}: Press Enter, Then Wait|Table {n1}. Total Rows {n}, Read Bytes {long}|port {n5} size {long} bytes {long}{n1}|Next, Prefer small patches; keep the {w} as it is.|Write commit messages in the style of {w}.|The working directory is /work/{w}_{w} and the main branch is {w}."
 ).split("|")
 
@@ -189,4 +190,8 @@ class Maker:
                 text += r.choice(("\n", "\n", "\n", " "))
             marks += [(k, b + len(text), e + len(text)) for k, b, e in here]
             text += part
+        if "\n" not in text and '"' not in text and r.random() < 0.3:  # a text within JSON
+            head = '[{"text": "Prefer small patches."}, {"text": "'
+            marks = [(k, b + len(head), e + len(head)) for k, b, e in marks]
+            text = head + text + '"}]'
         return text, marks
