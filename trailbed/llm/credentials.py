@@ -97,7 +97,7 @@ _PLACE = re.compile(
     )$"""
 )
 _CODE = re.compile(r"^(?:os\.|process\.|env\.|ENV\[|config\.|settings\.|self\.|this\.|vault[.:/]|secrets?[.:/]|ssm:|arn:|getenv|getpass|input\(|await\b|new\b|lambda\b|function\b|def\b|return\b|import\b|kms:|op://|\w+\(|[\w.]+\[\D|file://|https?://|/[\w./-]+$|\.{0,2}/[\w./-]+$|[\w.@-]+(?:/[\w.@-]+)+\.[a-z]{1,5}\.?$|@)")
-_NOT_SECRET = re.compile(r"^(?:sha\d+[:-].*|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|ssh-(?:rsa|ed25519|dss).*|data:.*|\d{1,5}|\d+(?:\.\d+)?(?:ms|s|m|h|d|kb|mb|gb|%)?|v?\d+(?:\.\d+)+)$", re.I)
+_NOT_SECRET = re.compile(r"^(?:sha\d+[:-].*|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|ssh-(?:rsa|ed25519|dss).*|data:.*|\d{1,5}|\d+(?:\.\d+)?(?:ms|s|m|h|d|kb|mb|gb|%)|v?\d+(?:\.\d+)+)$", re.I)
 _WORDS = re.compile(r"^(?:[a-z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+|[A-Z]+|[a-z]+(?:_[a-z]+)+|[A-Z]+(?:_[A-Z]+)+|[a-z]+(?:-[a-z]+)+|[a-z_]+(?:\.[a-z_]+)+)$")
 
 
