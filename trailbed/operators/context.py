@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailbed.session import materialize
+
 
 def rendered(blocks: DataFrame, call_cap: int | None = 400, result_cap: int | None = 800, tagged: bool = True) -> DataFrame:
     """(session_id, msg_idx, block_idx, part): texts, calls and results as lines; thinking is never shown."""
@@ -36,7 +38,8 @@ def contexts(parts: DataFrame, at: DataFrame, max_chars: int = 9000, stride: int
     """
     n = F.lit(max_chars)
     line = F.concat(F.lit("\n"), F.col("part"))
-    sized = parts.withColumn("size", F.length("part") + 1).withColumn("far", F.floor(F.col("msg_idx") / stride))
+    # Written once: the offsets below need the sizes several times, the texts once.
+    sized = materialize(parts.withColumn("size", F.length("part") + 1).withColumn("far", F.floor(F.col("msg_idx") / stride)), "parts")
     blocks = sized.groupBy("session_id", "far").agg(F.sum("size").alias("block_size"))
     before = F.sum("block_size").over(Window.partitionBy("session_id").orderBy("far").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("session_id", "far", F.coalesce(before, F.lit(0)).alias("block_start"), F.col("block_size"))
@@ -66,15 +69,14 @@ def contexts(parts: DataFrame, at: DataFrame, max_chars: int = 9000, stride: int
         .join(levels, ["session_id", "far"])
         .select("session_id", "msg_idx", (F.col("block_start") + F.col("inner")).alias("end"))
     )
-    last = F.floor((F.col("end") - 1) / n)
-    need = wanted.filter("end > 0").select("session_id", "msg_idx", "end", F.explode(F.array_distinct(F.array(F.greatest(F.lit(0), last - 1), last))).alias("k"))
-    got = need.join(pieces, ["session_id", "k"]).groupBy("session_id", "msg_idx", "end").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"), F.min("k").alias("k0")
-    )
-    shown = F.left("text", (F.col("end") - F.col("k0") * n).cast("int"))
+    # Each piece with the one before it; a context lies within the two. Only pieces are shuffled, contexts come out of the last join.
+    pairs = pieces.join(pieces.select("session_id", (F.col("k") + 1).alias("k"), F.col("text").alias("prev")), ["session_id", "k"], "left")
+    found = wanted.withColumn("k", F.floor((F.col("end") - 1) / n)).join(pairs, ["session_id", "k"], "left")
+    base = (F.col("k") - F.col("prev").isNotNull().cast("int")) * n
+    shown = F.left(F.concat(F.coalesce("prev", F.lit("")), F.col("text")), (F.col("end") - base).cast("int"))
     # The stream begins with a newline that is no part of the context.
-    context = F.right(F.when(F.col("k0") == 0, F.substring(shown, 2, 2**31 - 1)).otherwise(shown), n)
-    return wanted.select("session_id", "msg_idx").join(got.select("session_id", "msg_idx", context.alias("context")), ["session_id", "msg_idx"], "left").select("session_id", "msg_idx", F.coalesce("context", F.lit("")).alias("context"))
+    context = F.right(F.when(base == 0, F.substring(shown, 2, 2**31 - 1)).otherwise(shown), n)
+    return found.select("session_id", "msg_idx", F.when(F.col("end") > 0, context).otherwise("").alias("context"))
 
 
 def action_text(name: Column, given: Column, cap: int = 400) -> Column:

@@ -85,21 +85,59 @@ def _contexts(spark: SparkSession, d: str, max_chars: int, **how: object) -> Dat
 # Nested records (problem 4)
 
 
-@query
+TREE_SQL = """
+WITH o AS (SELECT line_no, raw AS j FROM raw_sessions WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+tree AS (SELECT o.line_no, t.type, t.fullkey, t.atom FROM o, json_tree(o.j) t WHERE starts_with(t.fullkey, '$.messages[')),
+k AS (SELECT *, CAST(regexp_extract(fullkey, '^\\$\\.messages\\[(\\d+)\\]', 1) AS INT) AS msg_idx, regexp_replace(fullkey, '^\\$\\.messages\\[\\d+\\]', '') AS k1 FROM tree),
+b AS (SELECT *, CAST(regexp_extract(k1, '^\\.content\\[(\\d+)\\]', 1) AS INT) AS block_idx, regexp_replace(k1, '^\\.content\\[\\d+\\]', '') AS k2 FROM k WHERE regexp_matches(k1, '^\\.content\\[\\d+\\]')),
+ty AS (SELECT line_no, msg_idx, block_idx, json_extract_string(atom, '$') AS block_type FROM b WHERE k2 = '.type' AND type = 'VARCHAR'),
+c AS (SELECT *, CAST(regexp_extract(k2, '^\\.content\\[(\\d+)\\]$', 1) AS INT) AS part_idx FROM b JOIN ty USING (line_no, msg_idx, block_idx) WHERE block_type = 'tool_result' AND regexp_matches(k2, '^\\.content\\[\\d+\\]$'))
+"""
+_SCALAR_SQL = "CASE WHEN json_type({0}, '$.{1}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string({0}, '$.{1}') END AS {2}"
+_MESSAGES_SQL = """
+WITH o AS (SELECT line_no, raw::JSON AS j FROM raw_sessions WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+m AS (SELECT line_no, CAST(i AS INT) AS msg_idx, json_extract(j, '$.messages[' || i || ']') AS m FROM (SELECT *, unnest(range(0, json_array_length(j, '$.messages')::BIGINT)) AS i FROM o WHERE json_type(j, '$.messages') = 'ARRAY')),
+b AS (SELECT line_no, msg_idx, CAST(i AS INT) AS block_idx, json_extract(m, '$.content[' || i || ']') AS b FROM (SELECT *, unnest(range(0, json_array_length(m, '$.content')::BIGINT)) AS i FROM m WHERE json_type(m, '$.content') = 'ARRAY')),
+c AS (SELECT line_no, msg_idx, block_idx, CAST(i AS INT) AS part_idx, json_extract(b, '$.content[' || i || ']') AS c FROM (SELECT *, unnest(range(0, json_array_length(b, '$.content')::BIGINT)) AS i FROM b WHERE json_type(b) = 'OBJECT' AND json_extract_string(b, '$.type') = 'tool_result' AND json_type(b, '$.content') = 'ARRAY'))
+"""
+
+
+def _members(row: str, names: list[str]) -> str:
+    return ", ".join(_SCALAR_SQL.format(row, n, {"id": "call_id"}.get(n, n)) for n in names)
+
+
+def _flat(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return session_tables(session_groups(table(spark, d, "raw_sessions")))[name].withColumnRenamed("id", "line_no")
+
+
+@sql(TREE_SQL + """
+SELECT line_no, msg_idx, -1 AS block_idx, -1 AS part_idx, '' AS path FROM k WHERE k1 = ''
+UNION ALL SELECT line_no, msg_idx, block_idx, -1, '' FROM b WHERE k2 = '' AND type = 'OBJECT'
+UNION ALL SELECT line_no, msg_idx, block_idx, part_idx, '' FROM c WHERE type = 'OBJECT'
+UNION ALL SELECT line_no, msg_idx, block_idx, -1, CASE WHEN k2 = '.input' THEN '$' ELSE regexp_replace(replace(k2[7:], '"', ''), '^\\.', '') END
+FROM b JOIN ty USING (line_no, msg_idx, block_idx) WHERE block_type = 'tool_use' AND type NOT IN ('OBJECT', 'ARRAY') AND regexp_matches(k2, '^\\.input($|[.\\[])')""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found_rows(session_groups(table(spark, d, "raw_sessions")))
 
 
-def _flat_table(name: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return session_tables(session_groups(table(spark, d, "raw_sessions")))[name].withColumnRenamed("id", "line_no")
+@sql(_MESSAGES_SQL + f"SELECT line_no, msg_idx, {_members('m', ['role', 'content'])} FROM m")
+def p4_messages(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "messages")
+
 
-    run.__name__ = f"p4_{name}"
-    query(run)
+@sql(_MESSAGES_SQL + f"SELECT line_no, msg_idx, block_idx, {_members('b', ['type', 'name', 'text', 'thinking', 'content', 'tool_use_id', 'id'])} FROM b WHERE json_type(b) = 'OBJECT'")
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "blocks")
 
 
-for _name in ("messages", "blocks", "parts", "inputs"):
-    _flat_table(_name)
+@sql(_MESSAGES_SQL + f"SELECT line_no, msg_idx, block_idx, part_idx, {_members('c', ['type', 'text'])} FROM c WHERE json_type(c) = 'OBJECT'")
+def p4_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "parts")
+
+
+@query
+def p4_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "inputs")
 
 
 # Positions
