@@ -121,8 +121,16 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[k]] + low) / 2, 0.1, 0.9))
 
 
+_fitted: dict[tuple, Model] = {}
+
+
 def train(spark: SparkSession, given: frozenset[str], n_rows: int = 10_000, trees: int = 40, depth: int = 5, seed: int = 7) -> Model:
-    """Fit on ``n_rows`` labelled rows, a fifth of them kept for calibration; both counts are bounds, whatever the data."""
+    """Fit on ``n_rows`` labelled rows, a fifth of them kept for calibration; both counts are bounds, whatever the data.
+
+    The fit depends on nothing but the arguments, so a process keeps each model it has fitted.
+    """
+    if (known := (given, n_rows, trees, depth, seed)) in _fitted:
+        return _fitted[known]
     parts = min(8, spark.sparkContext.defaultParallelism)
 
     def made(ids: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,6 +153,7 @@ def train(spark: SparkSession, given: frozenset[str], n_rows: int = 10_000, tree
         model.slope[i], model.shift[i] = _platt(m[on], y[on])
         p = 1 / (1 + np.exp(-(model.slope[i] * m[on] + model.shift[i])))
         model.threshold[i] = _best_cut(p, y[on])
+    _fitted[known] = model
     return model
 
 

@@ -99,3 +99,34 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_shares(table(spark, d, "documents"))
+
+
+# All windows of 320 characters of whole texts, those of two documents or more, and their runs.
+SPANS_SQL = """
+WITH w AS (SELECT doc_id, p, hash(substr(text, p + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 319)) AS p FROM documents WHERE length(text) >= 320)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM s)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 320 THEN 0 ELSE 1 END AS n FROM r)),
+runs AS (SELECT doc_id, min(p) AS span_start, max(p) + 320 AS span_end FROM g GROUP BY doc_id, run)
+"""
+ORACLE["p7_found"] = SPANS_SQL + "SELECT doc_id, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end FROM runs"
+ORACLE["p7_shares"] = SPANS_SQL + """, x AS (SELECT doc_id, count(*) AS n, CAST(sum(span_end - span_start) AS BIGINT) AS shared FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS n_spans, coalesce(shared, 0) AS shared_chars, round(coalesce(shared / length(text), 0.0), 6) AS shared_share FROM documents d LEFT JOIN x USING (doc_id)"""
+
+# Every pair of records by the number of 9-character sequences they have in common.
+PAIRS_SQL = """
+WITH t AS (SELECT rec_id, trim(regexp_replace(lower(coalesce(system, '') || ' ' || array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS text FROM sessions WHERE len(messages) > 0),
+g AS (SELECT DISTINCT rec_id, hash(substr(text, i, 9)) AS h FROM (SELECT rec_id, text, unnest(range(1, length(text) - 7)) AS i FROM t)),
+n AS (SELECT rec_id, count(*) AS n FROM g GROUP BY rec_id),
+x AS (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b, count(*) AS c FROM g a JOIN g b ON a.h = b.h AND a.rec_id < b.rec_id GROUP BY ALL),
+pairs AS (SELECT rec_a, rec_b FROM x JOIN n na ON na.rec_id = rec_a JOIN n nb ON nb.rec_id = rec_b WHERE c >= 0.6 * (na.n + nb.n - c)),
+class AS (SELECT rec_id, text, min(rec_id) OVER (PARTITION BY text) AS class_id FROM t)
+"""
+ORACLE["p3_found"] = PAIRS_SQL + "SELECT rec_a, rec_b FROM pairs"
+ORACLE["p3_degrees"] = PAIRS_SQL + """, e AS (SELECT a.class_id AS x, b.class_id AS y FROM pairs JOIN class a ON a.rec_id = rec_a JOIN class b ON b.rec_id = rec_b WHERE a.class_id <> b.class_id),
+d AS (SELECT x, count(DISTINCT y) AS n FROM (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) GROUP BY x)
+SELECT rec_id, class_id, coalesce(n, 0) AS n_links FROM class LEFT JOIN d ON x = class_id"""
+ORACLE["p3_groups"] = """WITH RECURSIVE """ + PAIRS_SQL.strip()[5:] + """, e AS (SELECT rec_a AS x, rec_b AS y FROM pairs UNION ALL SELECT rec_b, rec_a FROM pairs),
+reach AS (SELECT rec_id AS x, rec_id AS y FROM t UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+label AS (SELECT x AS rec_id, min(y) AS group_id FROM reach GROUP BY x)
+SELECT rec_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM label"""
