@@ -178,3 +178,13 @@ def test_audit(spark):
     counts = spark.createDataFrame([("a", 100), ("b", 90)], "source string, n long")
     want = spark.createDataFrame([("a", 102), ("b", 100), ("c", 1)], "source string, expected long")
     assert {r.source for r in audit.sample_sizes(counts, want).collect()} == {"b", "c"}
+
+
+def test_figures_and_documents(spark, tmp_path):
+    from trailbed.sources.records import read_document
+
+    figs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "stem string")
+    prov = spark.createDataFrame([("a", None, "x.json", None, None, None), ("b", "screenshot", None, "u", None, None), ("c", "schematic", None, None, None, None)], "stem string, kind string, source string, source_url string, captured string, command string")
+    assert {(r.stem, r.reason) for r in audit.unproven_figures(figs, prov).collect()} == {("b", "no address or date"), ("d", "no provenance")}
+    (tmp_path / "d.json").write_text('{"a": {\n "b": [1, 2]}}')
+    assert read_document(spark, str(tmp_path / "d.json")).first().a.b == [1, 2]

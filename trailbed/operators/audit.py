@@ -94,3 +94,17 @@ def unregistered(measured: DataFrame, registry: DataFrame) -> DataFrame:
 def placeholders(text: Column) -> Column:
     """Number of marks left for later."""
     return F.size(F.regexp_extract_all(text, F.lit(r"TODO|FIXME|TBD|XXX|\?\?"), F.lit(0)))
+
+
+def unproven_figures(figures: DataFrame, provenance: DataFrame) -> DataFrame:
+    """figures: stem; provenance: stem, kind, source, source_url, captured, command. Violations with their reason.
+
+    Every figure needs a record; a screenshot its address and date, a schematic nothing more, any other figure its source.
+    """
+    row = figures.join(provenance.withColumn("known", F.lit(True)), "stem", "left")
+    why = (
+        F.when(F.col("known").isNull(), "no provenance")
+        .when((F.col("kind") == "screenshot") & (F.coalesce("source_url", F.lit("")).eqNullSafe("") | F.coalesce("captured", F.lit("")).eqNullSafe("")), "no address or date")
+        .when(~F.coalesce("kind", F.lit("")).isin("screenshot", "schematic") & F.coalesce("source", F.lit("")).eqNullSafe(""), "no source")
+    )
+    return row.select("stem", why.alias("reason")).filter("reason IS NOT NULL")

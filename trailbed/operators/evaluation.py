@@ -71,3 +71,25 @@ def cost(rows: DataFrame, tokens_in: str, tokens_out: str, usd_in: float = 0.209
     usd = (F.coalesce(F.sum(tokens_in), F.lit(0)) * usd_in + F.coalesce(F.sum(tokens_out), F.lit(0)) * usd_out) / 1e6
     each = usd / F.greatest(F.count("*"), F.lit(1))
     return rows.agg(F.count("*").alias("n"), F.sum(tokens_in).alias("tokens_in"), F.sum(tokens_out).alias("tokens_out"), F.round(usd, 6).alias("usd"), F.round(each, 9).alias("usd_per_row"), F.round(each * targets, 6).alias("usd_projected"))
+
+
+def position_value(positions: DataFrame, scores: DataFrame) -> DataFrame:
+    """(key, sid, action, base_lp, ntok, base_per_tok), the least likely actions first."""
+    n = F.size(F.filter(F.split("action_input", r"\s+"), lambda x: x != ""))
+    rows = positions.join(scores.select("key", F.col("base").alias("base_lp")), "key").filter("base_lp IS NOT NULL").withColumn("ntok", n)
+    return rows.select("key", "sid", F.col("action_name").alias("action"), "base_lp", "ntok", F.round(F.col("base_lp") / F.greatest("ntok", F.lit(1)), 6).alias("base_per_tok")).orderBy("base_per_tok", "key")
+
+
+def provider_yield(scores: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per provider: scored texts, shares at or above 0, 1 and 3, the median score."""
+    rows = scores.join(candidates.select("key", F.coalesce("provider", F.lit("?")).alias("provider")), "key").filter("s_suff IS NOT NULL")
+    return rows.groupBy("provider").agg(
+        F.count("*").alias("n"), *[F.round(F.avg((F.col("s_suff") >= t).cast("double")), 6).alias(f"pass_{t}") for t in (0, 1, 3)], F.round(F.median("s_suff"), 6).alias("median_suff")
+    )
+
+
+def session_tools(sessions: DataFrame) -> DataFrame:
+    """(rec_id, n_tools, tools): distinct tool names in order; null lists count as empty."""
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("tools", lambda t: t["name"]), lambda n: n.isNotNull())))
+    names = F.coalesce(names, F.array().cast("array<string>"))
+    return sessions.select("rec_id", F.size(names).cast("long").alias("n_tools"), F.array_join(names, ",").alias("tools"))

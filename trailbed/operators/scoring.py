@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailbed.session import materialize
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -46,6 +48,7 @@ def naturalness(logprob: Column, n_tok: Column) -> Column:
 
 def score_rationales(rows: DataFrame, scorer: Scorer) -> DataFrame:
     """rows: key, cand_idx, context, action, r. Adds base, s_suff and s_nat; the base is scored once per key."""
+    rows = materialize(rows.select("key", "cand_idx", "context", "action", "r"), "rationales")  # scored three ways
     pairs = rows.select("key", F.col("context").alias("prefix"), F.col("action").alias("target")).dropDuplicates(["key"])
     base = scorer(pairs).select("key", F.col("logprob").alias("base"))
     suff = scorer(rows.select("key", "cand_idx", F.concat_ws("\n", "context", "r").alias("prefix"), F.col("action").alias("target"))).select("key", "cand_idx", F.col("logprob").alias("with_r"))
@@ -83,3 +86,24 @@ def with_future(anchors: DataFrame, text: str = "real_thinking_summary") -> Data
     """Each anchor but the last of its session with the session's last text as ``future``."""
     last = anchors.groupBy("sid").agg(F.max_by(F.struct("key", F.col(text).alias("future")), F.struct("msg_idx", "block_idx")).alias("z"))
     return anchors.join(last.select("sid", F.col("z.key").alias("last_key"), F.col("z.future").alias("future")), "sid").filter("key <> last_key").drop("last_key")
+
+
+def dual_calibration(anchors: DataFrame, scorer: Scorer, threshold: float = 3.0) -> DataFrame:
+    """One row on anchors (key, sid, msg_idx, block_idx, context, action, real_thinking_summary): pass rates of the own, the
+    session's last and another session's text, how often the own text is the more natural one, and the base's quartiles.
+    """
+    text = "real_thinking_summary"
+    anchors = materialize(anchors, "anchors")  # three controls are drawn from it
+    future = with_future(anchors, text).select("key", "future")
+    rows = mismatched(anchors, text).join(future, "key")
+    long = rows.select("key", "context", "action", F.posexplode(F.array(text, "future", "other")).alias("cand_idx", "r")).filter("r IS NOT NULL")
+    s = score_rationales(long, scorer)
+    of = lambda c, i: F.max(F.when(F.col("cand_idx") == i, F.col(c)))
+    names = ("own", "future", "random")
+    wide = s.groupBy("key").agg(F.max("base").alias("base"), *[of(c, i).alias(f"{k}_{n}") for i, n in enumerate(names) for c, k in (("s_suff", "suff"), ("s_nat", "nat"))])
+    rate = lambda c: F.round(F.avg((F.col(c) >= threshold).cast("double")), 6)
+    wins = lambda n: F.round(F.avg((F.col("nat_own") > F.col(f"nat_{n}")).cast("double")), 6)
+    return wide.agg(
+        F.count("*").alias("n"), *[rate(f"suff_{n}").alias(f"pass_{n}") for n in names], wins("future").alias("nat_wins_future"), wins("random").alias("nat_wins_random"),
+        *[F.round(F.percentile("base", q), 6).alias(f"base_q{int(100 * q)}") for q in (0.25, 0.5, 0.75)],
+    )

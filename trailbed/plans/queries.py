@@ -528,6 +528,27 @@ def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
     return pair.agg(F.count("*").alias("n"), F.round(F.median("own"), 6).alias("median_own"), F.round(F.median("other"), 6).alias("median_other"), stats.win_rate(F.col("own"), F.col("other")).alias("win_rate"))
 
 
+@query
+def dual_calibration(spark: SparkSession, d: str) -> DataFrame:
+    a = anchors(_given(spark, d)).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    return scoring.dual_calibration(a.withColumn("action", context.action_text(F.col("action_name"), F.col("action_input"))), scoring.stand_in())
+
+
+@sql("WITH t AS (SELECT key, sid, action_name AS action, base AS base_lp, CAST(len(list_filter(regexp_split_to_array(action_input, '\\s+'), lambda x: x <> '')) AS INT) AS ntok FROM scores JOIN v_pos USING (key) WHERE base IS NOT NULL) SELECT *, round(base_lp / greatest(ntok, 1), 6) AS base_per_tok FROM t")
+def position_value(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.position_value(_given(spark, d), table(spark, d, "scores"))
+
+
+@sql("SELECT coalesce(provider, '?') AS provider, count(*) AS n, round(avg((s_suff >= 0)::INT::DOUBLE), 6) AS pass_0, round(avg((s_suff >= 1)::INT::DOUBLE), 6) AS pass_1, round(avg((s_suff >= 3)::INT::DOUBLE), 6) AS pass_3, round(median(s_suff), 6) AS median_suff FROM v_scores JOIN v_cand USING (key) WHERE s_suff IS NOT NULL GROUP BY 1")
+def provider_yield(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.provider_yield(_scores(spark, d), _candidates(spark, d))
+
+
+@sql("WITH t AS (SELECT rec_id, coalesce(list_sort(list_distinct(list_filter(list_transform(tools, lambda t: t.name), lambda n: n IS NOT NULL))), []) AS n FROM sessions) SELECT rec_id, CAST(len(n) AS BIGINT) AS n_tools, array_to_string(n, ',') AS tools FROM t")
+def session_tools(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.session_tools(table(spark, d, "sessions"))
+
+
 # Datasheet, cost and audit
 
 

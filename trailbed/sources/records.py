@@ -62,3 +62,8 @@ def write_report(df: DataFrame, path: str) -> None:
 def violated(gate: DataFrame) -> bool:
     """Whether a gate's query for violations has rows; stands for a process's exit status."""
     return not gate.isEmpty()
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """A nested JSON document that spans lines, one row per file."""
+    return spark.read.option("multiLine", True).json(path)
