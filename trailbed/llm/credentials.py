@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -64,11 +65,11 @@ KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?---
 _VALUE = r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s"'`]+))"""
 # A key, an assignment sign and a value; the key may be quoted, subscripted, dotted or an option's name.
 ASSIGNED = re.compile(
-    r"""(?P<kq>["']?)(?P<key>[^\W\d][\w.\-]{0,80})(?P=kq)\]?(?P<sep>[ \t]*(?::=|=>|->|=|:|：)[ \t]*(?:(?:Bearer|Basic|Token|token|bearer|basic|Digest|ApiKey)[ \t]+)?)(?=\S)"""
+    r"""(?P<kq>["']?)(?<![\w.\-])(?P<key>[^\W\d][\w.\-]{0,80})(?P=kq)\]?(?P<sep>[ \t]*(?::=|=>|->|=|:|：)[ \t]*(?:(?:Bearer|Basic|Token|token|bearer|basic|Digest|ApiKey)[ \t]+)?)(?=\S)"""
 )
 VALUE = re.compile(_VALUE)
 NAMED_CALL = re.compile(r"""\(\s*["'](?P<key>[\w.\-]{2,60})["']\s*,\s*""" + _VALUE)
-HEADER = re.compile(r"""(?P<key>(?i:authorization|proxy-authorization|[\w-]*(?:api-?key|token|secret|auth)))["']?\]?[ \t]*[:=][ \t]*["']?(?:(?i:bearer|basic|token|digest|apikey)[ \t]+)?(?P<bare>[^\s"'`,;]+)""")
+HEADER = re.compile(r"""(?<![\w\-])(?P<key>(?i:authorization|proxy-authorization|[\w-]*(?:api-?key|token|secret|auth)))["']?\]?[ \t]*[:=][ \t]*["']?(?:(?i:bearer|basic|token|digest|apikey)[ \t]+)?(?P<bare>[^\s"'`,;]+)""")
 URL_USER = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<user>[^\s:/@"'<>]*):(?P<bare>[^\s@"']+)@(?=[\w.\[-])""")
 URL_QUERY = re.compile(r"""[?&](?P<key>[\w\-]{1,40})=(?P<bare>[^&\s"'#<>;]+)""")
 XML_VALUE = re.compile(r"""<(?P<tag>[\w:.\-]+)(?:\s+(?:name|key|id)=["'](?P<name>[\w.\-]+)["'])?[^<>\n]*>(?P<bare>[^<>\n]+)</""")
@@ -79,14 +80,20 @@ SHORT_OPTION = re.compile(
     r"""\b(?:(?P<my>mysql|mysqldump|mariadb|mysqladmin)\b[^\n|;&]*?[ \t]-p(?=[^\s])|redis-cli\b[^\n|;&]*?[ \t]-a[ \t]+|sshpass[ \t]+-p[ \t]*|(?:curl|wget|http|https)\b[^\n|;&]*?[ \t](?:-u|--user)[ \t]+["']?[^\s:"']*:)""" + _VALUE
 )
 SAID = re.compile(
-    r"""(?P<key>password|passphrase|passwd|pwd|token|secret|credential|api key|access key|contraseña|clave|Passwort|Kennwort|密码|口令|令牌|密钥)[ \t]*(?:,[ \t]*)?(?:the new one |für \S+ |for \S+ |de \S+ |von \S+ )?(?:is now|is|was|ist|lautet|es|为|是|换成|改成|：|:)[ \t]*""" + _VALUE, re.I
+    r"""(?=[ptscak密口令])(?P<key>password|passphrase|passwd|pwd|token|secret|credential|api key|access key|contraseña|clave|Passwort|Kennwort|密码|口令|令牌|密钥)[ \t]*(?:,[ \t]*)?(?:the new one |für \S+ |for \S+ |de \S+ |von \S+ )?(?:is now|is|was|ist|lautet|es|为|是|换成|改成|：|:)[ \t]*""" + _VALUE, re.I
 )
 LOGIN = re.compile(r"""\b(?i:login|log in|sign in|anmelden|user|usuario|account|svc_\w+)\b[^\n]{0,60}?\b(?:pass|password|passwd|pw|pwd|token|secret|Passwort|contraseña)[ \t]+""" + _VALUE)
 SAID_BEFORE = re.compile(r"""["'`](?P<bare>[^\s"'`]{6,})["'`][ \t]+(?:as|como|als|作为)[ \t]+(?:the[ \t]+|la[ \t]+|das[ \t]+)?(?P<key>password|passphrase|token|secret|api key|contraseña|clave|Passwort|密码|口令|令牌)""", re.I)
-#: Cheap test that lets most texts pass by: no finding is possible without one of these.
-HINT = re.compile(
-    r"(?i)pass|pwd|secret|token|key|auth|cred|jwt|contrase|clave|passwor|kennwor|密码|口令|令牌|密钥|秘钥|://[^\s/]*:|-u[ \t]|-a[ \t]|[ \t]-p|AKIA|ASIA|gh[pousr]_|glpat|AIza|sk-|xox|hv[sb]\.|npm_|pypi-|_(?:live|test|prod|dev|stage|pat|sk)_|SG\.|eyJ|--user|sig(?:nature)?="
-)
+#: Cheap test that lets most texts pass by: no finding is possible without one of these, in lower case.
+HINTS = (
+    "pass pwd secret token key auth cred jwt contrase clave kennwor 密码 口令 令牌 密钥 秘钥 :// akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat aiza sk- xox hvs. hvb. npm_ pypi- _live_ _test_ _prod_ _dev_ _stage_ _pat_ _sk_ sk_ rk_ sg. eyj --user sig= signature="
+).split() + [" -u", " -a", " -p"]
+
+
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in HINTS)
+
 
 _PLACE = re.compile(
     r"""(?ix)^(?:
@@ -101,6 +108,7 @@ _NOT_SECRET = re.compile(r"^(?:sha\d+[:-].*|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-
 _WORDS = re.compile(r"^(?:[a-z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+|[A-Z]+|[a-z]+(?:_[a-z]+)+|[A-Z]+(?:_[A-Z]+)+|[a-z]+(?:-[a-z]+)+|[a-z_]+(?:\.[a-z_]+)+)$")
 
 
+@lru_cache(maxsize=1 << 16)
 def sensitive_key(key: str) -> bool:
     """Whether the last name of a key path calls for a secret: its words, split at case and signs, end in a sensitive name."""
     words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", key).lower()
@@ -177,7 +185,7 @@ def _parents(text: str, at: int) -> str:
 
 def scan_text(text: str, path: str = "") -> list[Finding]:
     """Findings in one text; those inside others are dropped."""
-    if not HINT.search(text):
+    if not hinted(text):
         return []
     out: list[Finding] = []
 
@@ -328,7 +336,7 @@ def json_strings(raw: str) -> list[tuple[str, int, int, bool]] | None:
 
 def scan_json(raw: str) -> list[Finding]:
     """Findings in a JSON text, offsets in the raw text with its escapes; text that is no JSON is scanned as it stands."""
-    if not HINT.search(raw) and "\\u" not in raw:
+    if not hinted(raw) and "\\u" not in raw:
         return []
     strings = json_strings(raw)
     if strings is None:

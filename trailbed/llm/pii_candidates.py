@@ -16,7 +16,7 @@ class Span(NamedTuple):
 
 
 _WORD = r"[A-Za-z0-9_+%-]+"
-EMAIL = re.compile(rf"(?<![\w.+%-]){_WORD}(?:\.{_WORD})*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+EMAIL = re.compile(rf"(?<![\w.+%-]){_WORD}(?:\.{_WORD})*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_SPELLED = re.compile(
     rf"(?<![\w.+%-]){_WORD}(?:(?:\.| ?[\[(](?:dot|punkt|punto|点)[\])] ?){_WORD})* ?(?:[\[({{](?:at|ät|arroba)[\])}}]|(?-i:\bAT\b)| at (?=[a-z0-9-]+ dot )) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({{](?:dot|punkt|punto)[\])}}] ?| dot | DOT )[A-Za-z0-9-]+)*", re.I
 )
@@ -62,7 +62,7 @@ NOT_NAMES = set(
     "service account user users admin button menu view file edit help error warning info debug build test tests server client default new old null none true false json http https api url id ci git docker kubernetes linux windows python java "
     "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december thanks regards best dear hello hi saludos gruß grüße viele begin end vcard label "
     "author date merge reading deliveries address every reply sample name email phone street nid select from where insert into values table group order by write prefer never always use answer tell do not working directory commit messages visual studio code "
-    "signed reviewed reported co authored suggested acked cc to subject re fw note todo fixme string number object array promise".split()
+    "click save changes continue console theme gold button switch time spring springs press enter then total rows bytes cheers sincerely yours signed reviewed reported co authored suggested acked cc to subject re fw note todo fixme string number object array promise".split()
 )
 
 NAME_LEFT = re.compile(r"(?i)(?:author|-by|name|fn|fullname|full_name|owner|contact|wait for|ask|dear|hi|hello|attn|belongs to|escalate to|reply to|escribe a|bitte|rechnung für|think|and|as|user(?: is)?|for tests|to|with|from|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|sr\.?|sra\.?|señora?|cliente|customer|patient|employee|assignee|reviewer|__author__ =|联系|收件人|用户是|用户叫|姓名|作者|\()[\s:：=\"'>(（]*$")

@@ -39,13 +39,13 @@ _TEXTS = (
     "Thanks,\n{person}\n{email}\n{phone}|Best regards,\n{person}\n{phone}|Saludos,\n{person}\n{email}|Viele Grüße\n{person}\n{email}|{person}\n{email}\n{phone}|{phone}|{email}|{person}"
 ).split("|")
 _DECOYS = (
-    "git clone git@{host}:{w}/{w}_{w}.git|git clone https://oauth2:{hex}@{host}/{w}.git|postgres://app:{hex}@{host}:{n}/{w}|npm install @{w}/{w}@{n}.{n2}.1|sprite@2x.png and {w}@latest, see {path}|app@build-{n2}:~/{w}$ make {v}|root@{w}:/srv# ls|sshpass -p 'x' ssh app@{w}|@app.route(\"/{w}\")|@pytest.fixture|"
+    "git clone git@{host}:{w}/{w}_{w}.git|git clone https://oauth2:{hex}@{host}/{w}.git|postgres://app:{hex}@{host}:{n}/{w}|npm install @{w}/{w}@{n}.{n2}.1|sprite@2x.png and {w}@latest, see {path}|app@build-{n2}:~/{w}$ make {v}|root@{w}:/srv# ls|sshpass -p 'x' ssh app@{w}|sshpass -p '{hex}' ssh app@{w}-{w}|ssh deploy@{w}-{w}|scp {path} root@{host}:/srv|@app.route(\"/{w}\")|@pytest.fixture|"
     "Open the Pull Request, then Visual Editor and Mark Resolved in Settings Page|Will Retry after {n} ms; Grant Access to Service Account {w}|Click Save Changes and May Continue in Admin Console|Hope Springs theme, Rose Gold button, Summer Time switch|addr 0x{hex} Main Thread, stack at 0x{hex}|"
     "range {n2}-{n2}-{n2}, offset {long}|build 2025.{n1}.{n1}-{n} order {n}-{long6}|took {n2}.{n} s, pid {n5}, ts 17{long}|trace {hex}-{n}-{hex}|listening on 10.{n2}.{n2}.{n2}:{n5}|commit {hex}{hex}{hex}|request_id={hex}-{n}-{n}|sha256:{hex}{hex}  {path}|Date:   2025-0{n1}-1{n1} 0{n1}:16:24|2025-0{n1}-1{n1} 14:37:52 INFO {w} done in {n} ms|"
     "send to <email>, phone: [PHONE], name: {{ user.full_name }}|email_field and phone_number columns are nullable in {path}|用户姓名和电话字段在 {path} 里是可选的|id,name,email,phone,street|"
     "  File \"{path}\", line {n}, in {W}|FAILED {path}::test_{W} - {W}Error: {w} {n}|{path}:{n}:{n} warning: cold {w} '{W}' is never used|@@ -{n},{n1} +{n},{n1} @@ {w}_{w}|SELECT {w}, count(*) FROM {w}_{w} WHERE {w} > {n} GROUP BY {w};|-rw-r--r-- 1 app app {n} {w}.{w}|const {w} = await {W}({w}, { {w}: {n} });|assert {v}_{w}({n}) == {n}|"
     "That {W}Error comes from the {w} in {v}_{w}.|Can you check why {path} fails with {W}Error on line {n}?|The {w} page shows {n} items although {w} sent {n}.|Die Datei {path} gehört dem Team {w}, bitte nicht anfassen.|Der Test für {W} läuft lokal, aber nicht im {w}.|El {w} de {path} llama a {W} antes de tiempo.|Faltan {n} filas cuando el {w} está vacío.|La prueba de {W} pasa en local pero no en el {w}.|Bitte prüfe, warum {path} in Zeile {n} mit {W}Error abbricht.|"
-    "需要重试空的窗口，否则会话会多出 {n} 条。|测试在本地通过，但调度器任务在第 {n} 次拆分时超时。|把窗口上限设成 {n}，连接池上限设成 {n2}。|下一步：跳过窗口，把 {v}_{w} 改名为 {W}。|文档里说记录可以重复锁定，这和 {path} 矛盾。|看起来 {v}_{w} 从来没有压缩过解析器。|改完以后依赖从 {n} 毫秒降到 {n1} 毫秒。|登录口令：{hex}|这个错误来自默认的脚本，第 {n} 行附近。|"
+    "需要重试空的窗口，否则会话会多出 {n} 条。|测试在本地通过，但调度器任务在第 {n} 次拆分时超时。|把窗口上限设成 {n}，连接池上限设成 {n2}。|下一步：跳过窗口，把 {v}_{w} 改名为 {W}。|文档里说记录可以重复锁定，这和 {path} 矛盾。|看起来 {v}_{w} 从来没有压缩过解析器。|改完以后依赖从 {n} 毫秒降到 {n1} 毫秒。|登录口令：{hex}|把令牌换成 \"{hex}\" 再试一次|测试库密码是 {hex} ，先别提交|{path} 先看一下|{w} 处理完成 {n}|状态：等待中|请稍候 {n} 秒|数据库账号 {w}，密码：{hex}|这个错误来自默认的脚本，第 {n} 行附近。|"
     "Next step: {v} the {w}, rename {v}_{w} to {W}, and rerun.|Reading {path} shows that the {w} is cold by design.|First I'd like to reproduce the {W}Error with a warm {w}.|Visual Studio Code on Windows Server, Apache Spark on Amazon Linux|New York and San Francisco regions use Google Cloud|Content-Type: application/json; Accept-Language: en|version 12.345.678.901 of {w}, serial {long}{n}|order 4{long}, invoice {n5}{n}, ticket {n}-{n5}|card ending {n}, code {n}-{n}-{n}|ISBN 978-3-{n}-{n}-1|"
     "from {w}.{w} import {W}, {W}|from {w}.{w} import {v}_{w}, {W}|Now {W} and {v}_{w} share one {w}.|Now {W} and {W} share one {w}.|import {W}, {W}|Why does {W} need a {w} at all?|Added a guard so {W} skips a cold {w}.|"
     "BEGIN:VCARD|VERSION:3.0|END:VCARD|Thanks,|Best regards,|Saludos,|Step {n1}: Press Enter, Then Wait|Table {n1}. Total Rows {n}, Read Bytes {long}|port {n5} size {long} bytes {long}{n1}|Next, Prefer small patches; keep the {w} as it is.|Write commit messages in the style of {w}.|The working directory is /work/{w}_{w} and the main branch is {w}."
