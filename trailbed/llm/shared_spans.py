@@ -16,7 +16,7 @@ therefore belongs to the chunk that begins at its anchor, in every document alik
    only if all chunks inside are shared, and the windows are grouped by digest in turn.
 4. Shared windows become maximal runs.
 
-The result is exact but for 64-bit digests (the chunk's length is part of the key). All steps
+The result is exact but for 64-bit digests, which take in the length. All steps
 are hash aggregations and equi-joins: work is linear in the text however many copies a chunk
 has, and a hot digest is aggregated before the shuffle. No pairs of documents are made.
 """
@@ -127,7 +127,6 @@ def _chunks(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame
             base = c.starts[c.doc_of_cut[k]]
             yield pd.DataFrame({
                 "digest": spans.hash(begin[k], end[k]).view(np.int64),
-                "n_chars": (end[k] - begin[k]).astype(np.int32),
                 "context": context[k].view(np.int64),
                 "doc_id": ids[lo:hi][c.doc_of_cut[k]],
                 "cut": (c.cut[k] - base).astype(np.int32),
@@ -136,7 +135,7 @@ def _chunks(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame
             })
 
 
-CHUNKS = "digest long, n_chars int, context long, doc_id long, cut int, first_start int, n_windows int"
+CHUNKS = "digest long, context long, doc_id long, cut int, first_start int, n_windows int"
 
 
 def chunks(documents: DataFrame, span: int = 320) -> DataFrame:
@@ -187,13 +186,12 @@ def shared_spans(documents: DataFrame, span: int = 320) -> DataFrame:
     if span < 2 * GEAR:
         raise ValueError(f"span must be at least {2 * GEAR}")
     cut = materialize(chunks(documents, span), "p7-chunks")
-    groups = (
-        cut.groupBy("digest", "n_chars")
-        .agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("n_windows").alias("w"))
-        .filter("d0 <> d1")
-        .select("digest", "n_chars", ((F.col("c0") == F.col("c1")) & (F.col("w") > 0)).alias("same"))
-    )
-    seen = materialize(cut.drop("context").join(groups, ["digest", "n_chars"]).drop("digest", "n_chars"), "p7-shared")
+    # The documents first: a digest seen in one of them only, as most are, carries nothing else through the shuffle.
+    common = cut.groupBy("digest").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").select("digest")
+    found = materialize(cut.join(common, "digest"), "p7-shared")
+    groups = found.groupBy("digest").agg(F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("n_windows").alias("w"))
+    groups = groups.select("digest", ((F.col("c0") == F.col("c1")) & (F.col("w") > 0)).alias("same"))
+    seen = found.drop("context").join(groups, "digest")
     inner = seen.filter("same").select("doc_id", F.col("first_start").alias("a"), (F.col("first_start") + F.col("n_windows") - 1 + span).alias("b"))
     edges = (
         seen.groupBy("doc_id")
