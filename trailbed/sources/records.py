@@ -36,7 +36,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, modified) of files, contents not read."""
+    """(path, length, modified) of files, contents not read. Empty files are not listed, so a gate sees them as missing."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
