@@ -77,7 +77,7 @@ def position_value(positions: DataFrame, scores: DataFrame) -> DataFrame:
     """(key, sid, action, base_lp, ntok, base_per_tok), the least likely actions first."""
     n = F.size(F.filter(F.split("action_input", r"\s+"), lambda x: x != ""))
     rows = positions.join(scores.select("key", F.col("base").alias("base_lp")), "key").filter("base_lp IS NOT NULL").withColumn("ntok", n)
-    return rows.select("key", "sid", F.col("action_name").alias("action"), "base_lp", "ntok", F.round(F.col("base_lp") / F.greatest("ntok", F.lit(1)), 6).alias("base_per_tok")).orderBy("base_per_tok", "key")
+    return rows.select("key", "sid", F.col("action_name").alias("action"), "base_lp", "ntok", F.round(F.col("base_lp") / F.greatest("ntok", F.lit(1)), 12).alias("base_per_tok")).orderBy("base_per_tok", "key")
 
 
 def provider_yield(scores: DataFrame, candidates: DataFrame) -> DataFrame:

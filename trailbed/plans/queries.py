@@ -534,7 +534,7 @@ def dual_calibration(spark: SparkSession, d: str) -> DataFrame:
     return scoring.dual_calibration(a.withColumn("action", context.action_text(F.col("action_name"), F.col("action_input"))), scoring.stand_in())
 
 
-@sql("WITH t AS (SELECT key, sid, action_name AS action, base AS base_lp, CAST(len(list_filter(regexp_split_to_array(action_input, '\\s+'), lambda x: x <> '')) AS INT) AS ntok FROM scores JOIN v_pos USING (key) WHERE base IS NOT NULL) SELECT *, round(base_lp / greatest(ntok, 1), 6) AS base_per_tok FROM t")
+@sql("WITH t AS (SELECT key, sid, action_name AS action, base AS base_lp, CAST(len(list_filter(regexp_split_to_array(action_input, '\\s+'), lambda x: x <> '')) AS INT) AS ntok FROM scores JOIN v_pos USING (key) WHERE base IS NOT NULL) SELECT *, round(base_lp / greatest(ntok, 1), 12) AS base_per_tok FROM t")
 def position_value(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.position_value(_given(spark, d), table(spark, d, "scores"))
 
