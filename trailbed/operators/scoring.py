@@ -22,16 +22,21 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def stand_in(vocabulary: int = 10_000) -> Scorer:
     """Sum over the target's tokens of ln((count in the prefix + 1) / (prefix length + vocabulary))."""
 
     def score(pairs: DataFrame) -> DataFrame:
-        both = pairs.withColumn("_p", tokens(F.col("prefix"))).withColumn("_t", tokens(F.col("target")))
-        # Only tokens of the target that the prefix has need counting.
-        shared = F.array_intersect("_p", "_t")
-        counts = F.map_from_arrays(shared, F.transform(shared, lambda w: F.size(F.filter("_p", lambda x: x == w))))
-        total = F.aggregate("_t", F.lit(0.0), lambda acc, w: acc + F.log((F.coalesce(F.try_element_at(F.col("_c"), w), F.lit(0)) + 1) / (F.size("_p") + F.lit(float(vocabulary)))))
-        return both.withColumn("_c", counts).withColumn("logprob", total).withColumn("n_tok", F.size("_t")).drop("_p", "_t", "_c")
+        def total(z: Column) -> Column:
+            # Only tokens of the target that the prefix has need counting; a value bound by _let is computed once, an alias may be once per token.
+            return _let(F.filter(z["p"], lambda x: F.array_contains(z["t"], x)), lambda hits: F.aggregate(
+                z["t"], F.lit(0.0), lambda acc, w: acc + F.log((F.size(F.filter(hits, lambda x: x == w)) + 1) / (F.size(z["p"]) + F.lit(float(vocabulary))))))
+
+        both = F.struct(tokens(F.col("prefix")).alias("p"), tokens(F.col("target")).alias("t"))
+        return pairs.withColumn("logprob", _let(both, total)).withColumn("n_tok", F.size(tokens(F.col("target"))))
 
     return score
 

@@ -470,8 +470,8 @@ def sharegpt_blocks(spark: SparkSession, d: str) -> DataFrame:
 # Scores by the stand-in
 
 
-def _score_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = long_candidates(_candidates(spark, d)).join(_given(spark, d), "key").join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+def _score_rows(spark: SparkSession, d: str, max_chars: int) -> DataFrame:
+    rows = long_candidates(_candidates(spark, d)).join(_given(spark, d), "key").join(_contexts(spark, d, max_chars), ["sid", "msg_idx"])
     return rows.select("key", "cand_idx", "context", context.action_text(F.col("action_name"), F.col("action_input")).alias("action"), "r")
 
 
@@ -484,19 +484,33 @@ def _lp_sql(rows: str, ids: str) -> str:
   SELECT {ids}, np, t, (SELECT count(*) FROM unnest(pt) u(w) WHERE w = t) AS c FROM (SELECT {ids}, {_TOK.format('prefix')} AS pt, len({_TOK.format('prefix')}) AS np, unnest({_TOK.format('target')}) AS t FROM {rows})) GROUP BY {ids})"""
 
 
-@sql(_context_sql(1000).replace("SELECT a.sid", ", ctx AS (SELECT a.sid", 1) + f"""),
+def _stand_in_sql(max_chars: int) -> str:
+    return _context_sql(max_chars).replace("SELECT a.sid", ", ctx AS (SELECT a.sid", 1) + f"""),
 rows AS (SELECT l.key, l.cand_idx, l.r, c.context, {_ACTION_SQL} AS action FROM v_lcand l JOIN v_pos USING (key) JOIN ctx c USING (sid, msg_idx)),
 b0 AS (SELECT DISTINCT key, context AS prefix, action AS target FROM rows), s0 AS (SELECT key, cand_idx, context || chr(10) || r AS prefix, action AS target FROM rows), n0 AS (SELECT key, cand_idx, context AS prefix, r AS target FROM rows)
 SELECT s.key, s.cand_idx, round(b.logprob, 6) AS base, round(s.logprob - b.logprob, 6) AS s_suff, round(n.logprob / n.n_tok, 6) AS s_nat
-FROM {_lp_sql('s0', 'key, cand_idx')} s JOIN {_lp_sql('n0', 'key, cand_idx')} n USING (key, cand_idx) JOIN {_lp_sql('b0', 'key')} b USING (key)""")
-def stand_in_scores(spark: SparkSession, d: str) -> DataFrame:
-    got = scoring.score_rationales(_score_rows(spark, d), scoring.stand_in())
+FROM {_lp_sql('s0', 'key, cand_idx')} s JOIN {_lp_sql('n0', 'key, cand_idx')} n USING (key, cand_idx) JOIN {_lp_sql('b0', 'key')} b USING (key)"""
+
+
+def _stand_in(spark: SparkSession, d: str, max_chars: int) -> DataFrame:
+    got = scoring.score_rationales(_score_rows(spark, d, max_chars), scoring.stand_in())
     return got.select("key", "cand_idx", *[F.round(c, 6).alias(c) for c in ("base", "s_suff", "s_nat")])
 
 
+@sql(_stand_in_sql(1000))
+def stand_in_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Over the last 1,000 characters only, as its SQL fixes; stand_in_scores_9000 has the whole context."""
+    return _stand_in(spark, d, 1000)
+
+
+@sql(_stand_in_sql(9000))
+def stand_in_scores_9000(spark: SparkSession, d: str) -> DataFrame:
+    return _stand_in(spark, d, 9000)
+
+
 @query
 def intrinsic_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _given(spark, d).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    rows = _given(spark, d).join(_contexts(spark, d, 9000), ["sid", "msg_idx"])
     think = rows.filter(~is_blank(F.col("real_thinking_summary"))).select(F.lit("think").alias("tag"), F.col("context").alias("prefix"), F.left("real_thinking_summary", F.lit(800)).alias("target"))
     act = rows.select(F.lit("action").alias("tag"), F.col("context").alias("prefix"), context.action_text(F.col("action_name"), F.col("action_input")).alias("target"))
     return evaluation.intrinsic(think.unionByName(act), scoring.stand_in())
@@ -504,7 +518,7 @@ def intrinsic_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _top1(spark: SparkSession, d: str) -> DataFrame:
     cases, tools = evaluation.tool_cases(_given(spark, d))
-    return evaluation.action_top1(cases, tools, _contexts(spark, d, 1000), scoring.stand_in())
+    return evaluation.action_top1(cases, tools, _contexts(spark, d, 9000), scoring.stand_in())
 
 
 @query
@@ -520,7 +534,7 @@ def per_tool_accuracy(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
     """Sufficiency of each anchor's own reasoning against another session's, by the stand-in."""
-    a = scoring.mismatched(anchors(_given(spark, d))).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    a = scoring.mismatched(anchors(_given(spark, d))).join(_contexts(spark, d, 24000, call_cap=600, result_cap=1200), ["sid", "msg_idx"])
     action = context.action_text(F.col("action_name"), F.col("action_input")).alias("action")
     long = a.select("key", "context", action, F.posexplode(F.array("real_thinking_summary", "other")).alias("cand_idx", "r")).filter("r IS NOT NULL")
     s = scoring.score_rationales(long, scoring.stand_in())
@@ -530,7 +544,7 @@ def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dual_calibration(spark: SparkSession, d: str) -> DataFrame:
-    a = anchors(_given(spark, d)).join(_contexts(spark, d, 1000), ["sid", "msg_idx"])
+    a = anchors(_given(spark, d)).join(_contexts(spark, d, 12000), ["sid", "msg_idx"])
     return scoring.dual_calibration(a.withColumn("action", context.action_text(F.col("action_name"), F.col("action_input"))), scoring.stand_in())
 
 
