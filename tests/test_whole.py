@@ -82,3 +82,10 @@ def test_controls_see_the_whole_context(spark, long_sessions):
     base = sorted(lp(context(p.sid, 1, 12000), action(p))[0] for p in pos if p.msg_idx == 1)
     r = QUERIES["dual_calibration"](spark, d).first()
     assert (r.n, r.base_q50) == (2, pytest.approx(median(base), abs=2e-6))
+
+
+def test_prompts_hold_the_whole_context(spark, long_sessions):
+    d, pos, context = long_sessions
+    for name, how in (("prompts_coarse_9000", (9000,)), ("prompts_full_24000", (24000, 600, 1200))):
+        got = {r.key: r.prompt for r in QUERIES[name](spark, d).collect()}
+        assert len(got) == 4 and all(got[p.key].startswith(context(p.sid, p.msg_idx, *how) + "\n\n下一步动作") for p in pos), name

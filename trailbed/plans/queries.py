@@ -194,12 +194,15 @@ SELECT a.sid, a.msg_idx, right(coalesce(string_agg(m.text, chr(10) ORDER BY m.ms
 FROM spot a LEFT JOIN msg m ON m.session_id = a.sid AND m.msg_idx < a.msg_idx GROUP BY a.sid, a.msg_idx"""
 
 
+_LONG_PARTS = "(SELECT session_id, msg_idx, block_idx, CASE type WHEN 'text' THEN '[' || coalesce(role, '') || '] ' || coalesce(content, '') WHEN 'tool_use' THEN '[' || coalesce(role, '') || ' 调用 ' || coalesce(name, '?') || '] ' || left(coalesce(input, '{}'), 600) WHEN 'tool_result' THEN '[工具返回] ' || left(coalesce(content, ''), 1200) END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result'))"
+
+
 @sql(_context_sql(9000))
 def context_9000(spark: SparkSession, d: str) -> DataFrame:
     return _contexts(spark, d, 9000)
 
 
-@sql(_context_sql(24000, "(SELECT session_id, msg_idx, block_idx, CASE type WHEN 'text' THEN '[' || coalesce(role, '') || '] ' || coalesce(content, '') WHEN 'tool_use' THEN '[' || coalesce(role, '') || ' 调用 ' || coalesce(name, '?') || '] ' || left(coalesce(input, '{}'), 600) WHEN 'tool_result' THEN '[工具返回] ' || left(coalesce(content, ''), 1200) END AS part FROM v_blocks WHERE type IN ('text', 'tool_use', 'tool_result'))"))
+@sql(_context_sql(24000, _LONG_PARTS))
 def context_24000(spark: SparkSession, d: str) -> DataFrame:
     return _contexts(spark, d, 24000, call_cap=600, result_cap=1200)
 
@@ -218,24 +221,37 @@ def action_texts(spark: SparkSession, d: str) -> DataFrame:
     return _given(spark, d).select("key", context.action_text(F.col("action_name"), F.col("action_input")).alias("action"), action_kind(F.col("action_name")).alias("kind"))
 
 
-def _prompts(spark: SparkSession, d: str, template: str) -> DataFrame:
-    rows = _given(spark, d).join(_contexts(spark, d, 2000), ["sid", "msg_idx"])
-    return rows.select("key", context.prompts(template, F.col("context"), action_kind(F.col("action_name")), context.action_text(F.col("action_name"), F.col("action_input"))).alias("prompt"))
+def _prompts(spark: SparkSession, d: str, template: str, max_chars: int, action_cap: int = 400, **how: object) -> DataFrame:
+    rows = _given(spark, d).join(_contexts(spark, d, max_chars, **how), ["sid", "msg_idx"])
+    return rows.select("key", context.prompts(template, F.col("context"), action_kind(F.col("action_name")), context.action_text(F.col("action_name"), F.col("action_input"), action_cap)).alias("prompt"))
 
 
-def _prompts_sql(template: str) -> str:
-    fill = f"replace(replace(replace(replace('{template}', '{{n}}', '4'), '{{kind}}', {_KINDS_SQL}), '{{action}}', {_ACTION_SQL}), '{{context}}', context)"
-    return _context_sql(2000).replace("SELECT a.sid", ", c AS (SELECT a.sid", 1) + f") SELECT key, {fill} AS prompt FROM v_pos JOIN c USING (sid, msg_idx)"
+def _prompts_sql(template: str, max_chars: int = 2000, parts: str = "v_parts", action: str = _ACTION_SQL) -> str:
+    fill = f"replace(replace(replace(replace('{template}', '{{n}}', '4'), '{{kind}}', {_KINDS_SQL}), '{{action}}', {action}), '{{context}}', context)"
+    return _context_sql(max_chars, parts).replace("SELECT a.sid", ", c AS (SELECT a.sid", 1) + f") SELECT key, {fill} AS prompt FROM v_pos JOIN c USING (sid, msg_idx)"
 
 
 @sql(_prompts_sql(context.COARSE))
 def prompts_coarse(spark: SparkSession, d: str) -> DataFrame:
-    return _prompts(spark, d, context.COARSE)
+    """Of the last 2,000 characters only, as its SQL fixes; prompts_coarse_9000 has the whole context."""
+    return _prompts(spark, d, context.COARSE, 2000)
 
 
 @sql(_prompts_sql(context.FULL))
 def prompts_full(spark: SparkSession, d: str) -> DataFrame:
-    return _prompts(spark, d, context.FULL)
+    """Of the last 2,000 characters only, as its SQL fixes; prompts_full_24000 has the whole context."""
+    return _prompts(spark, d, context.FULL, 2000)
+
+
+@sql(_prompts_sql(context.COARSE, 9000))
+def prompts_coarse_9000(spark: SparkSession, d: str) -> DataFrame:
+    return _prompts(spark, d, context.COARSE, 9000)
+
+
+@sql(_prompts_sql(context.FULL, 24000, _LONG_PARTS, _ACTION_SQL.replace("400", "1500")))
+def prompts_full_24000(spark: SparkSession, d: str) -> DataFrame:
+    """The action with its whole extracted input, as in the reference."""
+    return _prompts(spark, d, context.FULL, 24000, 1500, call_cap=600, result_cap=1200)
 
 
 # Candidates and entities
