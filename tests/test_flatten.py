@@ -92,3 +92,20 @@ def test_triples_agree_with_json(obj, ascii_):
 @pytest.mark.parametrize("raw", ['{"a":1', '{"a" 1}', "{,}", '{"a":tru}', '{"a":"\t"}', '{"a":"\\x"}', '{"a":1}}', "{}{}", '{"a":.5}', '{"a":+1}', "null", '"x"', '{1:2}', '{"a":1,}'])
 def test_malformed(raw):
     assert triples(raw) is None
+
+
+def test_no_member_is_lost(spark):
+    """Every leaf of a record, and every empty container, is in a column of a table, in the inputs or among the members."""
+    raw = '{"session_id":"s","meta":{"v":1,"none":{},"l":[1,{"a":"b"}]},"system":[{"type":"text","text":"t","x":true},"bare"],"tools":[{"name":"R","schema":{"p":{}}}],"messages":[{"role":"user","content":[{"type":"image","source":{"kind":"b64","data":"d"},"input":{"q":1}},{"type":"tool_use","id":"i","input":{"q":2},"extra":null},{"type":"tool_result","content":[{"type":"image","source":{"data":"e"}},"s"]}],"usage":{"in":1}}]}'
+    t = session_tables(session_groups(spark.createDataFrame([(1, raw)], "line_no long, raw string")))
+    assert [tuple(r) for r in t["sessions"].collect()] == [(1, "s", None)]
+    assert [tuple(r) for r in t["system"].collect()] == [(1, 0, "text", "t")] and [tuple(r) for r in t["tools"].collect()] == [(1, 0, "R")]
+    got = {(r.grp, tuple(r.ords), r.path, r.value) for r in t["members"].collect() if r.kind not in ("object", "array")}
+    block = "messages[].content[]"
+    assert got == {
+        ("", (), "meta.v", "1"), ("meta.l[]", (0,), "", "1"), ("meta.l[]", (1,), "a", "b"), ("system[]", (0,), "x", "true"), ("system[]", (1,), "", "bare"),
+        ("messages[]", (0,), "usage.in", "1"), (block, (0, 0), "source.kind", "b64"), (block, (0, 0), "source.data", "d"), (block + ".input", (0, 0), "q", "1"),
+        (block, (0, 1), "extra", None), (block + ".content[]", (0, 2, 0), "source.data", "e"), (block + ".content[]", (0, 2, 1), "", "s"),
+    }
+    empty = {(r.grp, r.path) for r in t["members"].filter("kind IN ('object', 'array')").collect()}
+    assert {("", "meta.none"), ("tools[]", "schema.p")} <= empty

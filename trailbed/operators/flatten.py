@@ -221,6 +221,7 @@ def table_of(flat: DataFrame, grp: str, ordinals: Sequence[str], columns: dict[s
     return rows.select("id", *keys, *[F.col("vals")[p].alias(n) for n, p in (columns or {}).items()])
 
 
+SYSTEM, TOOLS = "system[]", "tools[]"
 MESSAGES, BLOCKS, PARTS = "messages[]", "messages[].content[]", "messages[].content[].content[]"
 INPUT = "messages[].content[].input"
 
@@ -231,22 +232,47 @@ def session_groups(raw_sessions: DataFrame) -> DataFrame:
 
 
 def session_tables(flat: DataFrame) -> dict[str, DataFrame]:
-    """messages, blocks, parts and inputs of ``session_groups``, each with the key of its parent."""
+    """sessions, system, tools, messages, blocks, parts and inputs of ``session_groups``, each with the key of its parent, and the members beside them."""
     is_object, kind = F.col("kind") == "object", F.col("up")["type"]
     key = ["msg_idx", "block_idx", "part_idx"]
     inputs = flat.filter((F.col("grp") == INPUT) & (kind == "tool_use")).select(
         "id", F.col("ords")[0].alias("msg_idx"), F.col("ords")[1].alias("block_idx"), "path", "kind", "value", F.col("up")["name"].alias("tool_name")
     )
-    return {
-        "messages": table_of(flat, MESSAGES, key[:1], {"role": "role", "content": "content"}),
-        "blocks": table_of(flat, BLOCKS, key[:2], {"type": "type", "name": "name", "text": "text", "thinking": "thinking", "content": "content", "tool_use_id": "tool_use_id", "call_id": "id"}, is_object),
-        "parts": table_of(flat, PARTS, key, {"type": "type", "text": "text"}, is_object & (kind == "tool_result")),
-        "inputs": inputs,
+    of_result = is_object & (kind == "tool_result")
+    shapes = {  # group, ordinals, columns, and which of its elements are rows
+        "sessions": ("", [], {"session_id": "session_id", "system": "system"}, None),
+        "system": (SYSTEM, ["system_idx"], {"type": "type", "text": "text"}, is_object),
+        "tools": (TOOLS, ["tool_idx"], {"name": "name"}, is_object),
+        "messages": (MESSAGES, key[:1], {"role": "role", "content": "content"}, None),
+        "blocks": (BLOCKS, key[:2], {"type": "type", "name": "name", "text": "text", "thinking": "thinking", "content": "content", "tool_use_id": "tool_use_id", "call_id": "id"}, is_object),
+        "parts": (PARTS, key, {"type": "type", "text": "text"}, of_result),
     }
+    return {n: table_of(flat, *shape) for n, shape in shapes.items()} | {"inputs": inputs, "members": _members(flat, shapes)}
+
+
+def _members(flat: DataFrame, shapes: dict[str, tuple]) -> DataFrame:
+    """(id, grp, ords, path, kind, value): every member that no other table of ``session_tables`` shows, whatever its name.
+
+    ``grp`` and ``ords`` are the key of the element it belongs to, ``path`` the way from there (as in ``triples``; empty for an
+    element that is no object itself). Strings in columns are left out; a column's value of another kind is here too, with
+    its kind, and so is every object or array, so that empty ones and nulls are told from absent ones.
+    """
+    free = F.col("path").isNotNull()  # below INPUT; of a tool call it is in ``inputs``
+    single = F.create_map(F.coalesce("path", F.lit("")), F.col("kind"))
+    own = F.when(~free & F.col("kind").isin("object", "array"), F.col("kinds")).otherwise(single)
+    shown = F.array().cast("array<string>")
+    for grp, _, columns, where in shapes.values():
+        at = (F.col("grp") == grp) & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+        shown = F.when(at, F.array(*[F.lit(c) for c in columns.values()])).otherwise(shown)
+    rows = flat.filter(~(free & F.coalesce(F.col("up")["type"] == "tool_use", F.lit(False))))
+    value = F.when(free, F.col("value")).otherwise(F.col("vals")[F.col("at")])
+    each = rows.withColumn("shown", shown).select("id", "grp", "ords", "path", "value", "vals", "shown", F.explode(own).alias("at", "of"))
+    each = each.filter(~((F.col("of") == "string") & F.array_contains("shown", F.col("at"))))
+    return each.select("id", "grp", "ords", F.col("at").alias("path"), F.col("of").alias("kind"), value.alias("value"))
 
 
 def found_rows(flat: DataFrame) -> DataFrame:
-    """The keys of all rows of ``session_tables`` in one pass: (line_no, msg_idx, block_idx, part_idx, path), unused ones -1 or ''."""
+    """The keys of all messages, blocks, parts and inputs of ``session_tables`` in one pass: (line_no, msg_idx, block_idx, part_idx, path), unused ones -1 or ''."""
     is_object, kind, grp = F.col("kind") == "object", F.col("up")["type"], F.col("grp")
     wanted = (
         (grp == MESSAGES)

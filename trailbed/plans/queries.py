@@ -140,6 +140,26 @@ def p4_inputs(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "inputs")
 
 
+@sql("WITH o AS (SELECT line_no, raw::JSON AS j FROM raw_sessions WHERE json_valid(raw) AND json_type(raw) = 'OBJECT') SELECT line_no, " + ", ".join(_SCALAR_SQL.format("j", n, n) for n in ("session_id", "system")) + " FROM o")
+def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "sessions")
+
+
+@query
+def p4_system(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "system")
+
+
+@query
+def p4_tools(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "tools")
+
+
+@query
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "members")
+
+
 # Positions
 
 
