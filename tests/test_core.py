@@ -133,6 +133,16 @@ def test_turns_alternate(spark):
     assert [x.who for x in t] == ["human", "gpt"] and "<thinking>\nlate thought\n</thinking>" in t[1].value
 
 
+def test_arms_keep_apart_and_have_their_system_text(spark):
+    b = blocks(spark, BASIC)
+    both = b.withColumn("arm", F.lit("B")).unionByName(b.filter("type <> 'thinking'").withColumn("arm", F.lit("B_minus")))
+    records = spark.createDataFrame([("B", "s", '[{"text": "one"}, {"type": "x"}, "no", {"text": "two"}]'), ("B_minus", "s", "[1] plain [2]"), ("B", "u", "y" * 9000), ("B", "v", None)], "arm string, session_id string, system string")
+    t = arms.with_system(arms.merged_turns(arms.block_turns(both), "arm", "session_id"), records, "arm", "session_id").collect()
+    assert {(r.arm, r.session_id): r.value for r in t if r.turn == -1} == {("B", "s"): "one\n\ntwo", ("B_minus", "s"): "[1] plain [2]", ("B", "u"): "y" * 8000, ("B", "v"): ""}
+    shown = {a: "".join(r.value for r in t if r.arm == a and r.turn >= 0) for a in ("B", "B_minus")}
+    assert shown["B"].count("late thought") == 1 and "late thought" not in shown["B_minus"] and shown["B_minus"].count("please fix") == 1
+
+
 def test_strip_and_insert(spark):
     kind = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
     df = spark.createDataFrame([([("thinking", "a"), ("text", "b")],)], T.StructType([T.StructField("b", kind)]))

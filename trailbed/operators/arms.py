@@ -70,24 +70,40 @@ def turn_value(kind: Column, name: Column, content: Column, given: Column) -> Co
 
 
 def block_turns(blocks: DataFrame) -> DataFrame:
-    """(session_id, msg_idx, who, value): one row per message with something to show; any role but assistant is human."""
+    """([arm,] session_id, msg_idx, who, value): one row per message with something to show; any role but assistant is human."""
+    key = [c for c in ("arm", "session_id", "msg_idx") if c in blocks.columns]
     value = turn_value(F.col("type"), F.col("name"), F.col("content"), F.col("input"))
     shown = blocks.withColumn("value", value).filter("value IS NOT NULL AND value <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "value"))), lambda x: x["value"]), "\n")
-    return shown.groupBy("session_id", "msg_idx").agg(joined.alias("value"), F.max("role").alias("role")).select(
-        "session_id", "msg_idx", F.when(F.col("role") == "assistant", "gpt").otherwise("human").alias("who"), "value"
+    return shown.groupBy(*key).agg(joined.alias("value"), F.max("role").alias("role")).select(
+        *key, F.when(F.col("role") == "assistant", "gpt").otherwise("human").alias("who"), "value"
     )
 
 
-def merged_turns(turns: DataFrame, session: str, opening: str = "(continue)") -> DataFrame:
-    """(session, turn, who, value): neighbours of one speaker joined by newline, so speakers alternate, a human first.
+def merged_turns(turns: DataFrame, *session: str, opening: str = "(continue)") -> DataFrame:
+    """(*session, turn, who, value): neighbours of one speaker joined by newline, so speakers alternate, a human first.
 
-    turns: session, msg_idx, who, value. Where an assistant begins, a turn 0 with ``opening`` is put before it.
+    turns: *session, msg_idx, who, value. Where an assistant begins, a turn 0 with ``opening`` is put before it.
     """
-    order = Window.partitionBy(session).orderBy("msg_idx")
+    order = Window.partitionBy(*session).orderBy("msg_idx")
     change = F.coalesce((F.col("who") != F.lag("who").over(order)).cast("int"), F.lit(1))
     run = turns.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "value"))), lambda x: x["value"]), "\n")
-    merged = run.groupBy(session, "run").agg(F.max("who").alias("who"), text.alias("value"))
-    opens = merged.filter("run = 1 AND who = 'gpt'").select(session, F.lit(0).cast("long").alias("turn"), F.lit("human").alias("who"), F.lit(opening).alias("value"))
-    return merged.select(session, F.col("run").alias("turn"), "who", "value").unionByName(opens)
+    merged = run.groupBy(*session, "run").agg(F.max("who").alias("who"), text.alias("value"))
+    opens = merged.filter("run = 1 AND who = 'gpt'").select(*session, F.lit(0).cast("long").alias("turn"), F.lit("human").alias("who"), F.lit(opening).alias("value"))
+    return merged.select(*session, F.col("run").alias("turn"), "who", "value").unionByName(opens)
+
+
+def system_text(system: Column, cap: int = 8000) -> Column:
+    """A system prompt as text: of a JSON array the objects' texts joined by newline, any other as it is, null as empty; at most ``cap`` characters."""
+    listed = F.when(F.trim(system).startswith("[") & F.trim(system).endswith("]"), F.from_json(system, "array<string>", {"allowSingleQuotes": "false"}))
+    objects = F.filter(listed, lambda x: F.ltrim(x).startswith("{"))
+    joined = F.array_join(F.transform(objects, lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))), "\n")
+    text = F.when(F.size(objects) > 0, joined).when(system.rlike(r"^\s*\[\s*\]\s*$"), "").otherwise(F.coalesce(system, F.lit("")))
+    return F.left(text, F.lit(cap))
+
+
+def with_system(turns: DataFrame, records: DataFrame, *session: str) -> DataFrame:
+    """The turns and, of each of ``records`` (*session, system), a row of turn -1 by ``system`` with its system text, empty if it has none."""
+    head = records.select(*session, F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("who"), system_text(F.col("system")).alias("value"))
+    return turns.unionByName(head)

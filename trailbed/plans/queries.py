@@ -503,6 +503,29 @@ def sharegpt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return A.merged_turns(A.block_turns(_blocks(spark, d)), "session_id")
 
 
+# The system text of each record comes as turn -1.
+_SYSTEM_SQL = "left(CASE WHEN json_valid(system) AND json_type(CASE WHEN json_valid(system) THEN system END) = 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(CAST(CASE WHEN json_valid(system) THEN system END AS JSON[]), lambda x: json_type(x) = 'OBJECT'), lambda x: coalesce(json_extract_string(x, '$.text'), '')), chr(10)), '') ELSE coalesce(system, '') END, 8000)"
+
+
+@sql(ORACLE["sharegpt_records"] + f" UNION ALL SELECT rec_id, -1, 'system', {_SYSTEM_SQL} FROM sessions")
+def sharegpt_records_system(spark: SparkSession, d: str) -> DataFrame:
+    return A.with_system(sharegpt_records(spark, d), table(spark, d, "sessions"), "rec_id")
+
+
+_ARM_TURNS_SQL = """, s AS (SELECT arm, session_id, msg_idx, block_idx, role, CASE type WHEN 'text' THEN content WHEN 'thinking' THEN CASE WHEN regexp_replace(coalesce(content, ''), '\\s', '', 'g') <> '' THEN '<thinking>' || chr(10) || regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || '</thinking>' END
+  WHEN 'tool_use' THEN '<tool_use name="' || coalesce(name, '?') || '">' || chr(10) || coalesce(input, '{}') || chr(10) || '</tool_use>' WHEN 'tool_result' THEN '<tool_result>' || chr(10) || coalesce(content, '') || chr(10) || '</tool_result>' END AS value FROM arms),
+t AS (SELECT arm, session_id, msg_idx, CASE WHEN max(role) = 'assistant' THEN 'gpt' ELSE 'human' END AS who, string_agg(value, chr(10) ORDER BY block_idx) AS value FROM s WHERE value IS NOT NULL AND value <> '' GROUP BY ALL)"""
+
+
+@sql(ARMS_SQL + _ARM_TURNS_SQL + _TURNS_SQL.format(s="arm, session_id") + f""" UNION ALL SELECT arm, session_id, -1, 'system', {_SYSTEM_SQL} FROM (SELECT DISTINCT session_id FROM v_blocks) CROSS JOIN (SELECT unnest(['B_minus', 'B', 'R', 'R_dense']) AS arm) LEFT JOIN (SELECT session_id, arg_max(system, rec_id) AS system FROM sessions WHERE system IS NOT NULL GROUP BY session_id) USING (session_id)""")
+def sharegpt_arms(spark: SparkSession, d: str) -> DataFrame:
+    """The four arms as alternating turns, each session with the system text of its latest record that has one."""
+    system = table(spark, d, "sessions").filter("system IS NOT NULL").groupBy("session_id").agg(F.max_by("system", "rec_id").alias("system"))
+    sessions = _blocks(spark, d).select("session_id").distinct().join(system, "session_id", "left")
+    records = sessions.withColumn("arm", F.explode(F.array(*map(F.lit, A.ARMS))))
+    return A.with_system(A.merged_turns(A.block_turns(_arms(spark, d)), "arm", "session_id"), records, "arm", "session_id")
+
+
 # Scores by the stand-in
 
 
