@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailbed.llm.near_duplicates import NearDuplicates, components, pairs_within, record_text
@@ -85,6 +86,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_components_raise_when_not_stable(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not stable after 2"):
+        components(chain, rounds=2)
+
+
 def test_record_text(spark):
     df = spark.createDataFrame([(1, "A-b", [("u", "Ü 3_x"), ("v", None), None]), (2, None, []), (3, None, None)], "rec_id long, system string, messages array<struct<role string, content string>>")
     assert [r.t for r in df.select(record_text().alias("t")).collect()] == ["a b ü 3 x", "", None]

@@ -226,7 +226,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of (a, b): (id, label), label being the least id of the component.
 
     Large-star and small-star steps in turn; each round's edges are a table in the shared folder, and the driver sees
-    only their number and checksum.
+    only their number and checksum. Raises if the edges are not stable within ``rounds`` rounds, so no split group is returned.
     """
     edges = materialize(edges.filter("a <> b").distinct(), "cc-0")
     before = None
@@ -242,5 +242,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     top = edges.groupBy("a").agg(F.min("b").alias("b"))
     return top.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(top.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
