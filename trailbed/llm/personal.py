@@ -4,56 +4,44 @@ Method: candidate gradient boosting. Generators of high recall propose overlappi
 judge each by features of its format and context; thresholds calibrated on rows kept from training select the
 redactions, the likeliest span winning where several overlap.
 
-The trees are fitted by Spark on a bounded number of labelled rows (pii_training); everything else covers all rows. The
-fitted model is a few thousand numbers and goes to the tasks with the function; rows are mapped over once, without a shuffle.
+The trees of each kind are fitted in a task of their own on a bounded number of labelled rows (pii_training); everything else covers all rows. The
+fitted model is a few thousand numbers and two word lists of bounded size, sent to each executor once; rows are mapped over once, without a shuffle.
 """
 
 from __future__ import annotations
 
+import base64
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailbed.llm.pii_candidates import KINDS, N_FEATURES, Span, candidates, features
-from trailbed.llm.pii_training import Maker
+from trailbed.llm.boosting import Trees, best_cut, fit, platt
+from trailbed.llm.packing import TOKENIZERS, VOCABULARY
+from trailbed.llm.pii_candidates import KINDS, N_FEATURES, Lexicon, Span, candidates, features
+from trailbed.llm.pii_training import GIVEN, Maker
 from trailbed.session import spread
 
 
+class Judge(NamedTuple):
+    """The trees of one kind, Platt scaling and the threshold."""
+
+    trees: Trees
+    slope: float
+    shift: float
+    threshold: float
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.margin(x) + self.shift, -30, 30)))
+
+
 class Model(NamedTuple):
-    """Boosted trees as arrays (one row per tree, children at 2i+1 and 2i+2), Platt scaling and a threshold for each kind."""
-
-    feature: np.ndarray
-    cut: np.ndarray
-    leaf: np.ndarray
-    weight: np.ndarray
-    slope: np.ndarray
-    shift: np.ndarray
-    threshold: np.ndarray
-    given: frozenset[str]
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        row = np.arange(len(x))
-        for f, c, v, w in zip(self.feature, self.cut, self.leaf, self.weight, strict=True):
-            node = np.zeros(len(x), dtype=np.int64)
-            while True:
-                at = f[node]
-                inner = at >= 0
-                if not inner.any():
-                    break
-                right = x[row, np.maximum(at, 0)] > c[node]
-                node = np.where(inner, 2 * node + 1 + right, node)
-            total += w * v[node]
-        return total
-
-    def chance(self, x: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope[kind] * self.margin(x) + self.shift[kind], -30, 30)))
+    judges: tuple[Judge, ...]  # by kind
+    lexicon: Lexicon
 
 
 def given_names(names: DataFrame, most: int = 100_000) -> frozenset[str]:
@@ -64,103 +52,81 @@ def given_names(names: DataFrame, most: int = 100_000) -> frozenset[str]:
     return frozenset(found)
 
 
-def _labelled(rows: range, seed: int, given: frozenset[str]) -> Iterator[tuple[float, list[float], int, int]]:
-    """(label, features, kind, fold) of the candidates of made rows; a row's candidates share a fold."""
-    names = sorted(n.title() for n in given)
-    for i in rows:
-        text, marks = Maker(seed * 1_000_003 + i, names).row()
-        true = set(marks)
-        # A third of the help is held back, so that the trees do not lean on the list alone.
-        known = frozenset(g for k, g in enumerate(sorted(given)) if (k + i) % 3)
-        for s in candidates(text):
-            yield float((s.kind, s.begin, s.end) in true), features(text, s, known), s.kind, int(i % 5 == 0)
-
-
-def _arrays(trees: list, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = 2 ** (depth + 1) - 1
-    feature, cut, leaf = np.full((len(trees), size), -1), np.zeros((len(trees), size)), np.zeros((len(trees), size))
-    for t, tree in enumerate(trees):
-        stack = [(0, tree._java_obj.rootNode())]
-        while stack:
-            i, node = stack.pop()
-            if node.subtreeDepth() == 0:
-                leaf[t, i] = node.prediction()
-            else:
-                feature[t, i], cut[t, i] = node.split().featureIndex(), node.split().threshold()
-                stack += [(2 * i + 1, node.leftChild()), (2 * i + 2, node.rightChild())]
-    return feature, cut, leaf
-
-
-def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of y on m, by damped Newton steps."""
-    a, b = 2.0, 0.0
-    if len(m) < 10 or y.min() == y.max():
-        return a, b
-    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - t) * m).sum(), (p - t).sum()])
-        w = p * (1 - p) + 1e-9
-        h = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(a), float(b)
-
-
-def _best_cut(p: np.ndarray, y: np.ndarray, beta: float = 2.0) -> float:
-    """The threshold of highest F-beta, in the middle of the gap below it, but at most 1 / (1 + beta^2).
-
-    beta is 2: a missed item weighs four times a needless mask, and at that price a calibrated chance of a fifth is enough.
+def word_ranks(folder: str = TOKENIZERS, least: int = 3) -> dict[str, tuple[float, float]]:
+    """log2 of the ranks of words in a public tokenizer's vocabulary, (lower case, capitalised), 17 where it is no entry.
+
+    Early ranks are common words. The vocabulary is a file of fixed size (50,256 entries); its path is a parameter.
     """
-    if not y.sum():
-        return 1 / (1 + beta**2)
-    order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f = (1 + beta**2) * hit / (np.arange(1, len(p) + 1) + beta**2 * y.sum())
-    k = int(f.argmax())
-    low = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + low) / 2, 0.1, 1 / (1 + beta**2)))
+    ranks: dict[str, list[float]] = {}
+    with open(f"{folder}/{VOCABULARY}", "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            word = base64.b64decode(token)
+            if len(word) > least and word[:1] == b" " and word[1:].isalpha() and (low := word[1:].lower()) and word[2:] == low[1:]:
+                ranks.setdefault(low.decode(), [17.0, 17.0])[word[1:] != low] = round(math.log2(int(rank) + 1), 2)
+    return {w: (a, b) for w, (a, b) in ranks.items()}
+
+
+def common_words(ranks: dict[str, tuple[float, float]], most: int = 12_000) -> list[str]:
+    """Words more common in lower case than capitalised, the likeliest ``most``, in alphabetical order."""
+    return sorted(sorted((w for w, (a, b) in ranks.items() if a < b), key=lambda w: (ranks[w], w))[:most])
+
+
+def wordy_names(given: list[str], words: list[str]) -> list[str]:
+    known = set(words)
+    return sorted({g for g in [*GIVEN, *given] if g.lower() in known}) or ["Mark"]
+
+
+def _labelled(i: int, seed: int, given: list[str], ranks: dict[str, tuple[float, float]], words: list[str], wordy: list[str]) -> Iterator[tuple[float, list[float], int, int]]:
+    """(label, features, kind, fold) of the candidates of made row ``i``; a row's candidates share a fold."""
+    text, marks = Maker(seed * 1_000_003 + i, given, words, wordy).row()
+    true = set(marks)
+    # A third of the names is held back, so that the trees do not lean on the list alone.
+    known = Lexicon(frozenset(g.lower() for k, g in enumerate([*GIVEN, *given]) if (k + i) % 3), ranks)
+    for s in candidates(text):
+        yield float((s.kind, s.begin, s.end) in true), features(text, s, known), s.kind, int(i % 5 == 0)
 
 
 _fitted: dict[tuple, Model] = {}
 
 
-def train(spark: SparkSession, given: frozenset[str], n_rows: int = 10_000, trees: int = 40, depth: int = 5, seed: int = 7) -> Model:
+def train(spark: SparkSession, given: frozenset[str], n_rows: int = 12_000, trees: int = 90, depth: int = 6, seed: int = 7, folder: str = TOKENIZERS) -> Model:
     """Fit on ``n_rows`` labelled rows, a fifth of them kept for calibration; both counts are bounds, whatever the data.
 
-    The fit depends on nothing but the arguments, so a process keeps each model it has fitted.
+    The fit depends on nothing but the arguments and the vocabulary in ``folder``, so a process keeps each model it has fitted.
     """
-    if (known := (given, n_rows, trees, depth, seed)) in _fitted:
+    if (known := (given, n_rows, trees, depth, seed, folder)) in _fitted:
         return _fitted[known]
     parts = min(8, spark.sparkContext.defaultParallelism)
+    ranks = word_ranks(folder)
+    names, words = sorted(n.title() for n in given), common_words(ranks)
+    wordy = wordy_names(names, words)
 
     def made(ids: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in ids:
-            rows = [r for i in pdf["id"].tolist() for r in _labelled(range(i, i + 1), seed, given)]
+            rows = [r for i in pdf["id"].tolist() for r in _labelled(i, seed, names, ranks, words, wordy)]
             yield pd.DataFrame(rows, columns=["label", "x", "kind", "fold"])
 
-    rows = spark.range(0, n_rows, 1, parts).mapInPandas(made, "label double, x array<double>, kind int, fold int").persist()
-    data = rows.filter("fold = 0").select("label", array_to_vector("x").alias("features"))
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxMemoryInMB=512, checkpointInterval=-1).fit(data)
-    kept = rows.filter("fold = 1").select("label", "x", "kind").toPandas()
-    rows.unpersist()
-    feature, cut, leaf = _arrays(fitted.trees, depth)
-    k = len(KINDS)
-    model = Model(feature, cut, leaf, np.array(fitted.treeWeights), np.ones(k), np.zeros(k), np.full(k, 0.5), given)
-    x, y, kind = np.array(kept["x"].tolist()), kept["label"].to_numpy(), kept["kind"].to_numpy()
-    m = model.margin(x)
-    for i in range(k):
-        on = kind == i
-        model.slope[i], model.shift[i] = _platt(m[on], y[on])
-        p = 1 / (1 + np.exp(-(model.slope[i] * m[on] + model.shift[i])))
-        model.threshold[i] = _best_cut(p, y[on])
-    _fitted[known] = model
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, kept = np.array(pdf["x"].tolist()), pdf["label"].to_numpy(), pdf["fold"].to_numpy() == 1
+        t = fit(x[~kept], y[~kept], trees, depth, seed=seed)
+        m = t.margin(x[kept])
+        slope, shift = platt(m, y[kept])
+        cut = best_cut(1 / (1 + np.exp(-np.clip(slope * m + shift, -30, 30))), y[kept])
+        return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "feature": [t.feature.ravel().tolist()], "cut": [t.cut.ravel().tolist()], "leaf": [t.leaf.ravel().tolist()], "base": [t.shift], "slope": [slope], "shift": [shift], "threshold": [cut]})
+
+    rows = spark.range(0, n_rows, 1, 2 * parts).mapInPandas(made, "label double, x array<double>, kind int, fold int")
+    shape = "kind int, feature array<long>, cut array<double>, leaf array<double>, base double, slope double, shift double, threshold double"
+    of = {r.kind: r for r in rows.groupBy("kind").applyInPandas(fitted, shape).collect()}  # one row per kind, thousands of numbers
+    size = (trees, 2 ** (depth + 1) - 1)
+    judges = tuple(
+        Judge(Trees(*(np.array(of[k][c]).reshape(size) for c in ("feature", "cut", "leaf")), of[k].base), of[k].slope, of[k].shift, of[k].threshold) for k in range(len(KINDS))
+    )
+    _fitted[known] = model = Model(judges, Lexicon(given | frozenset(g.lower() for g in GIVEN), ranks))
     return model
 
 
-def select(spans: list[Span], chance: np.ndarray, threshold: np.ndarray) -> list[tuple[Span, float]]:
+def select(spans: list[Span], chance: np.ndarray, threshold: list[float]) -> list[tuple[Span, float]]:
     """Spans above their kind's threshold, best first, longer first among equals, without overlaps; in order of place."""
     out: list[tuple[Span, float]] = []
     order = sorted(range(len(spans)), key=lambda i: (-round(float(chance[i]), 3), spans[i].begin - spans[i].end, spans[i].begin))
@@ -174,12 +140,16 @@ def select(spans: list[Span], chance: np.ndarray, threshold: np.ndarray) -> list
 def judge(texts: list[str | None], model: Model) -> list[list[tuple[Span, float]]]:
     """The chosen spans of each text."""
     spans = [candidates(t) if t else [] for t in texts]
-    x = [features(t, s, model.given) for t, own in zip(texts, spans, strict=True) for s in own]
     kinds = np.array([s.kind for own in spans for s in own], dtype=np.int64)
-    p = model.chance(np.array(x, dtype=np.float64).reshape(-1, N_FEATURES), kinds)
+    x = np.array([features(t, s, model.lexicon) for t, own in zip(texts, spans, strict=True) for s in own], dtype=np.float64).reshape(-1, N_FEATURES)
+    p = np.zeros(len(kinds))
+    for k, own in enumerate(model.judges):
+        on = np.flatnonzero(kinds == k)
+        p[on] = own.chance(x[on])
+    threshold = [j.threshold for j in model.judges]
     out, at = [], 0
     for own in spans:
-        out.append(select(own, p[at : at + len(own)], model.threshold) if own else [])
+        out.append(select(own, p[at : at + len(own)], threshold) if own else [])
         at += len(own)
     return out
 
