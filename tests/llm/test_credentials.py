@@ -1,8 +1,10 @@
 import json
+import time
 
 import pytest
 
-from trailbed.llm.credentials import find_secrets, json_strings, redact_secrets, scan_json, scan_text, sensitive_key, splice
+from trailbed.llm.credentials import byte_spans, find_secrets, hinted, redact_secrets, scan_json, scan_text, sensitive_key, splice
+from trailbed.llm.formats import json_scalars
 
 PEM = "-----BEGIN ENCRYPTED PRIVATE KEY-----\nMIIB+/ab\nQQ==\n-----END ENCRYPTED PRIVATE KEY-----"
 FOUND = [
@@ -35,12 +37,45 @@ def test_decoys(text):
     assert scan_json(json.dumps({"command": text})) == []
 
 
+@pytest.mark.parametrize(("text", "secret", "path"), [
+    ("login admin pw Xy12345!zQ", "Xy12345!zQ", "said.pw"), ("db:\n  password: |\n    Ab12-cd34ef\n  user: x", "Ab12-cd34ef", "db.password"), ("[db]\npassword = \'\'\'\nTr1ple-q\n\'\'\'", "Tr1ple-q", "db.password"), ("[db]\nhost=a\npw=Sup3r-x1", "Sup3r-x1", "db.pw"),
+    ('password = "pässw0rt!9"', "pässw0rt!9", "password"), ('password: "a<b9!xZ"', "a<b9!xZ", "password"), ("password='ab...c!d9#'", "ab...c!d9#", "password"), ("https://u:p@ss!w0rd9@host.example/x", "p@ss!w0rd9", "url.u"),
+    ("k" * 300 + "_password = 'abCd12!x'", "abCd12!x", "k" * 300 + "_password"), ("DB_PASSWORD=abcd1,efG77zz", "abcd1,efG77zz", "DB_PASSWORD"), ("DB_PASSWORD=ab)cdE12X99", "ab)cdE12X99", "DB_PASSWORD"), ("f(password=abc12d!, y=2)", "abc12d!", "password"), ("{a: 1, auth: {password: Ab12-x99}}", "Ab12-x99", "auth.password"),
+    ("server:\n  auth:\n    - name: x\n      token: \"Zz81-0qwe\"\n", "Zz81-0qwe", "server.auth.token"), ('<conn name="password" value="T0p-secret9"/>', "T0p-secret9", "password"), ("a:\n" + "".join(" " * k + f"n{k}:\n" for k in range(1, 13)) + " " * 13 + "secret: 'Ab1-xyz9'", "Ab1-xyz9", "a." + ".".join(f"n{k}" for k in range(1, 13)) + ".secret"),
+    ("login with the account that " + "we made last week and which " * 5 + "has pass Polq$407", "Polq$407", "said.pass"), ("pin: x\npwd: 'a1-b'", "a1-b", "pwd"),
+])
+def test_former_limits(text, secret, path):
+    assert [(text[f.begin : f.end], f.path) for f in scan_text(text)] == [(secret, path)]
+
+
+def test_every_example_passes_the_hints():
+    assert all(hinted(t) for t, _ in FOUND) and scan_text("secret: !vault |\n   $ANSIBLE_VAULT;1.1;AES256\n   6638") == []
+    raw = '{"u":"https:\\/\\/a:Secr3t!x9@h.example\\/p"}'
+    assert [raw[f.begin : f.end] for f in scan_json(raw)] == ["Secr3t!x9"]
+
+
+def test_redacted_json_parses():
+    for raw in (' {"password": 123456789}', '{"a":{"password": 12345678, "x":"y"}}', '[1, {"token": "Ab12-cd34"}, "é password=Zx9-qq81"]'):
+        red = splice(raw, scan_json(raw), True)
+        assert "REDACTED" in red and json.loads(red) is not None and scan_json(red) == []
+    text = "é字😀 password='abCd12!x' tail"
+    (f,) = scan_text(text)
+    assert [text.encode()[b:e].decode() for b, e in byte_spans(text, [f])] == ["abCd12!x"]
+
+
+def test_long_texts_take_linear_time():
+    for text in ("aB3/" * 200_000, "password " * 50_000, "login x " * 20_000, "key: " * 50_000, "a.b-c" * 100_000 + "://", "token the new one " * 20_000, "curl -u " * 20_000):
+        began = time.perf_counter()
+        scan_text(text)
+        assert time.perf_counter() - began < 20
+
+
 def test_key_paths():
     t = "spec:\n  auth:\n    password: Ab12-cd34\n"
     assert [f.path for f in scan_text(t)] == ["spec.auth.password"]
     assert [f.path for f in scan_json('{"env":{"list":[{"api_key":"Zx81-aa0q"}]}}')] == ["env.list.[0].api_key"]
     assert sensitive_key("clientSecret") and sensitive_key("X-Api-Key") and not sensitive_key("max_tokens") and not sensitive_key("secretName")
-    assert json_strings('{"a":"b') is None and json_strings('"x"') == [("", 1, 2, True)]
+    assert json_scalars('{"a":"b') is None and json_scalars('"x"') == [("", 1, 2, True)]
 
 
 def test_splice_keeps_the_rest():
