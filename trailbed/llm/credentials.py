@@ -121,7 +121,7 @@ def hinted(text: str) -> bool:
 
 _PLACE = re.compile(
     r"""(?ix)^(?:
-      <.*>? | \$.* | %\w+% | \{.* | \[.* | .*\{\{.* | \*+ | x{3,} | \.{2,} | -+ | _+ | \#+ | \?+ | …+
+      <.*>? | \$.* | !(?:vault|secret|ref|sub|env|getatt|include|reference|importvalue)\b.* | %\w+% | \{.* | \[.* | .*\{\{.* | \*+ | x{3,} | \.{2,} | -+ | _+ | \#+ | \?+ | …+
       | (?:my|your|the|some|a|an)?[-_ ]?(?:new[-_ ])?(?:super[-_ ]?)?(?:password|passwd|pass|secret|token|key|api[-_]?key|apikey|credentials?|value|user|username|pwd)(?:[-_ ]?(?:here|goes[-_ ]here|value|field|123))?
       | your.* | change[-_ ]?(?:me|it|this).* | replace[-_ ]?(?:me|this).* | insert.* | todo.* | fixme.* | redacted.* | masked.* | hidden | removed | example.* | sample.* | dummy.* | placeholder.* | none | null | nil | undefined | true | false | yes | no | on | off | empty | unset | n/?a | tbd
       | string | str | int | integer | number | bool | boolean | bytes | object | any | void | optional.* | required | char | text | varchar.*
