@@ -55,6 +55,44 @@ def test_edits(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 2}
 
 
+def fewest(doc, piece):
+    """Edits between a piece and the nearest stretch of doc, by the plain table."""
+    row = [0] * (len(doc) + 1)
+    for i, c in enumerate(piece, 1):
+        new = [i]
+        for j, d in enumerate(doc, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_edits_equal_brute_force(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    items = [(i, text(r.choice([20, 24, 40]))) for i in range(6)] + [(90, "abc"), (91, None)]
+    items.append((70, items[0][1][:15] + "f" + items[0][1][15:]))
+    docs = []
+    for d in range(90):
+        p = r.choice(items[:6])[1]
+        b = r.randint(0, len(p) - 18)
+        piece = list(p[b : b + r.randint(18, 24)])
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(piece))
+            piece[k : k + 1] = r.choice([[], [r.choice("abcdef")], [piece[k], r.choice("abcdef")]])
+        docs.append((d, r.choice(["", text(9)]) + "".join(piece) + r.choice(["", text(9)])))
+    docs += [(200, ""), (201, items[0][1][:10]), (202, "f" * 300)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    want = {}
+    for d, t in docs:
+        for i, p in items:
+            ks = [fewest(t, p[s : s + 20]) for s in range(len(p or "") - 19)]
+            if ks:
+                want[d, i] = min(ks)
+    for edits in (0, 1, 2):
+        got = {(x.doc_id, x.item_id): x.edits for x in leak_report(df, it, 20, edits=edits).collect()}
+        assert got == {k: v for k, v in want.items() if v <= edits}
+
+
 def test_fold_and_empty(spark):
     for t in ("A-b_C 9é", "ﬁ①Ａ字!", "", "İß", "á"):
         assert "".join(map(chr, fold(t))) == plain(t)

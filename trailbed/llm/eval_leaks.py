@@ -6,23 +6,27 @@ all on diagonals (document position minus passage position) at most ``edits`` ap
 
 1. Both texts are folded (NFKC, lower case, letters and digits only).
 2. The passages' q-grams are looked up at every position of the document.
-3. Hits are counted in diagonal bands that overlap by ``edits``, within ``window + edits``
-   successive positions; regions that meet the bound are kept.
-4. Regions are verified: without edits by comparing the characters along the diagonal, with edits by
-   an alignment confined to the band.
+3. Hits are counted in diagonal bands of ``2 * (edits + 1)`` that overlap by half, so any ``edits + 1``
+   neighbouring diagonals lie in one, within ``window + edits`` successive positions; bands that meet
+   the bound are kept.
+4. A kept band is verified by an alignment confined to it, in its furthest-reaching form: for every start
+   in the passage at once, how far each diagonal gets with 0, 1, … ``edits`` edits.
 
+One way serves all budgets; without edits the alignment is the run of equal characters on a diagonal.
 Documents are only mapped over: nothing is shuffled. The held-out items are fixed and small; they are
 broadcast in blocks of at most ``block_chars`` characters, so one block's index is bounded however many
-items there are, and further blocks are further passes.
+items there are, and further blocks are further passes. A worker builds a block's index once.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,80 +88,78 @@ class Index:
         return np.repeat(at, n), self.where[pick], self.place[pick]
 
 
-def regions(index: Index, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, band's first diagonal, first and last position, most hits) of regions that meet the lemma's bound."""
+def bands(index: Index, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(item, first diagonal) of the bands in which some stretch meets the lemma's bound, one row each."""
     e = index.edits
-    wide = 2 * e + 1
-    diagonal = at - place
-    for shift in ([0] if e == 0 else [0, e]):  # bands of 2e+1 that overlap: any e+1 neighbouring diagonals lie in one
-        band = (diagonal + shift) // wide
-        order = np.lexsort((at, band, item))
-        i, b, p = item[order], band[order], at[order]
+    wide, need, found = 2 * (e + 1), index.least, []
+    for shift in (0, e + 1):
+        low = (at - place + shift) // wide * wide - shift
+        order = np.lexsort((at, low, item))
+        i, b, p = item[order], low[order], at[order]
         # Several hits of one position in a band count once.
         new = np.ones(len(p), dtype=bool)
         new[1:] = (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
         i, b, p = i[new], b[new], p[new]
-        n, need = len(p), index.least
-        if n < need:
+        if len(p) < need:
             continue
-        end = np.arange(n - need + 1) + need - 1
-        good = (i[end] == i[: n - need + 1]) & (b[end] == b[: n - need + 1]) & (p[end] - p[: n - need + 1] <= index.window + e - index.q)
-        first = np.flatnonzero(good)
-        if not len(first):
-            continue
-        fresh = np.ones(len(first), dtype=bool)
-        fresh[1:] = (np.diff(first) > need) | (i[first[1:]] != i[first[:-1]]) | (b[first[1:]] != b[first[:-1]])
-        begin = first[fresh]
-        last = np.append(first[np.flatnonzero(fresh)[1:] - 1], first[-1]) + need - 1
-        for s, t in zip(begin, last, strict=True):
-            yield int(i[s]), int(b[s] * wide - shift), int(p[s]), int(p[t]) + index.q, int(t - s + 1)
+        first, last = slice(0, len(p) - need + 1), slice(need - 1, None)
+        good = (i[last] == i[first]) & (b[last] == b[first]) & (p[last] - p[first] <= index.window + e - index.q)
+        found.append(np.stack([i[first][good], b[first][good]], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def aligned(doc: np.ndarray, passage: np.ndarray, low: int, begin: int, end: int, window: int, edits: int) -> int | None:
-    """Fewest edits that turn some ``window`` characters of the passage into a piece of doc near [begin, end).
+def reaches(doc: np.ndarray, passage: np.ndarray, low: int, edits: int) -> Iterator[np.ndarray]:
+    """For 0, 1, … ``edits`` edits: how many characters of the passage from each of its places on are aligned with the document.
 
-    The alignment keeps to the diagonals low - edits .. low + 3 * edits, that is to the band with room for the edits on
-    either side. None if more than ``edits`` are needed.
+    The alignment begins anywhere in the document and keeps to the diagonals low .. low + 2 * edits + 1.
     """
-    diagonals = np.arange(low - edits, low + 3 * edits + 1)
-    best = None
-    first = max(0, begin - int(diagonals[-1]) - window)
-    for s in range(first, min(len(passage) - window, end - int(diagonals[0])) + 1):
-        cost = np.zeros(len(diagonals), dtype=np.int32)  # free start anywhere in the band
-        for j in range(window):
-            spot = s + j + diagonals
-            inside = (spot >= 0) & (spot < len(doc))
-            same = np.zeros(len(diagonals), dtype=np.int32)
-            same[~inside] = 1
-            same[inside] = doc[spot[inside]] != passage[s + j]
-            step = cost + same
-            step[:-1] = np.minimum(step[:-1], cost[1:] + 1)  # a passage character left out
-            for d in range(1, len(step)):  # a document character put in
-                if step[d - 1] + 1 < step[d]:
-                    step[d] = step[d - 1] + 1
-            cost = step
-            if cost.min() > edits:
-                break
-        least = int(cost.min())
-        if least <= edits and (best is None or least < best):
-            best = least
-            if best == 0:
-                break
-    return best
-
-
-def _exact_runs(index: Index, codes: np.ndarray, item: int, diagonal: int, begin: int, end: int) -> int:
-    """Longest run of equal characters along one diagonal that touches [begin, end)."""
-    passage = index.passages[item]
-    lo, hi = max(0, diagonal), min(len(codes), diagonal + len(passage))
-    same = codes[lo:hi] == passage[lo - diagonal : hi - diagonal]
-    stop = np.flatnonzero(~same)
-    edge = np.concatenate([[-1], stop, [len(same)]])
-    return int(np.diff(edge).max() - 1)
-
-
-def _leaks(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]], window: int, edits: int) -> Iterator[pd.DataFrame]:
-    index = Index(items, window, edits)
+    n, diagonals = len(passage), low + np.arange(2 * (edits + 1))
+    starts = np.arange(n + 1)
+    spot = diagonals[:, None] + starts[:n]
+    inside = (spot >= 0) & (spot < len(doc))
+    equal = np.zeros(spot.shape, dtype=bool)
+    equal[inside] = (doc[np.clip(spot, 0, max(0, len(doc) - 1))] == passage)[inside] if len(doc) else False
+    # Where each diagonal's run of equal characters through a place ends.
+    stop = np.where(equal, n, starts[:n])
+    stop = np.concatenate([np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1], np.full((len(diagonals), 1), n)], axis=1)
+    valid = (diagonals[:, None] + starts >= 0) & (diagonals[:, None] + starts <= len(doc))
+    row = np.arange(len(diagonals))[:, None]
+    reach = np.where(valid, stop[row, starts], -1)
+    yield reach.max(axis=0) - starts
+    for _ in range(edits):
+        may = (reach >= 0) & (reach < n)
+        changed = np.where(may & inside[row, np.clip(reach, 0, n - 1)], reach + 1, -1)
+        left_out = np.full_like(reach, -1)
+        left_out[:-1] = np.where(may, reach + 1, -1)[1:]
+        put_in = np.full_like(reach, -1)
+        put_in[1:] = np.where((reach >= 0) & (diagonals[:, None] + reach < len(doc)), reach, -1)[:-1]
+        best = np.maximum(np.maximum(reach, changed), np.maximum(left_out, put_in))
+        reach = np.where(best >= 0, stop[row, np.maximum(best, 0)], -1)
+        yield reach.max(axis=0) - starts
+
+
+def aligned(doc: np.ndarray, passage: np.ndarray, low: int, window: int, edits: int) -> tuple[int, int] | None:
+    """(fewest edits, longest stretch with them) that align ``window`` characters or more of the passage within a band; None if ``edits`` are too few."""
+    for k, far in enumerate(reaches(doc, passage, low, edits)):
+        if far.max() >= window:
+            return k, int(far.max())
+    return None
+
+
+_indexes: dict[tuple, Index] = {}
+
+
+def _index(key: tuple, items: list[tuple[int, str]], window: int, edits: int) -> Index:
+    if key not in _indexes:
+        if len(_indexes) > 1:
+            _indexes.clear()
+        _indexes[key] = Index(items, window, edits)
+    return _indexes[key]
+
+
+def _leaks(batches: Iterator[pd.DataFrame], block: Broadcast, window: int, edits: int) -> Iterator[pd.DataFrame]:
+    name, items = block.value
+    index = _index((name, window, edits), items, window, edits)
     for pdf in batches:
         texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
         out = []
@@ -179,13 +181,9 @@ def _leaks(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]], window
             for s, t in zip(edges[:-1], edges[1:], strict=True):
                 d = int(doc[s])
                 best: dict[int, tuple[int, int]] = {}
-                for i, low, a, b, n in regions(index, at[s:t] - starts[d], item[s:t], place[s:t]):
-                    if edits == 0:
-                        run = _exact_runs(index, folded[d], i, low, a, b)
-                        if run >= window:
-                            best[i] = min(best.get(i, (0, 0)), (0, -run))
-                    elif (x := aligned(folded[d], index.passages[i], low, a, b, window, edits)) is not None:
-                        best[i] = min(best.get(i, (x, 0)), (x, -n))
+                for i, low in bands(index, at[s:t] - starts[d], item[s:t], place[s:t]).tolist():
+                    if (x := aligned(folded[d], index.passages[i], low, window, edits)) is not None:
+                        best[i] = min(best.get(i, (x[0], 0)), (x[0], -x[1]))
                 out += [(ids[lo + d], int(index.ids[i]), x, -n) for i, (x, n) in best.items()]
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "evidence"])
 
@@ -206,15 +204,16 @@ def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
 def leak_report(documents: DataFrame, items: DataFrame, window: int = 50, edits: int = 0, block_chars: int = 4_000_000) -> DataFrame:
     """Documents that hold ``window`` successive characters of a passage, with at most ``edits`` edits.
 
-    Columns doc_id, item_id, edits (fewest found) and evidence (without edits the longest common run in folded
-    characters, else the q-gram hits of the region). Null, blank or shorter texts and passages give nothing; equal
+    Columns doc_id, item_id, edits (the fewest that do) and evidence (the longest stretch of the passage aligned with
+    them, in folded characters). Null, blank or shorter texts and passages give nothing; equal
     rows count once per doc_id and item_id; other columns are ignored; empty tables give an empty result.
     """
     # NFKC turns one character into at most 18.
     texts = spread(documents.select("doc_id", "text").filter((F.length("text") * 18 >= window) & F.col("doc_id").isNotNull()))
     found = None
     for block in item_blocks(items, block_chars):
-        part = texts.mapInPandas(lambda it, block=block: _leaks(it, block, window, edits), "doc_id long, item_id long, edits int, evidence int")
+        sent = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+        part = texts.mapInPandas(lambda it, sent=sent: _leaks(it, sent, window, edits), "doc_id long, item_id long, edits int, evidence int")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, evidence int")
