@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,26 @@ class _Frame:
         self.key, self.n, self.seen = "", -1, {}
 
 
-def triples(raw: str) -> list[tuple[str, tuple[str | int, ...], str, str | None]] | None:
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_scan = json.JSONDecoder(parse_constant=_no_constant).scan_once
+
+
+def _pass_by(raw: str, at: int) -> int | None:
+    """The end of a well-formed container that begins at ``at``; None where it must be read by steps (broken, or nested too deep)."""
+    try:
+        return _scan(raw, at)[1]
+    except (ValueError, StopIteration, RecursionError):
+        return None
+
+
+def triples(raw: str, enter: Callable[[str], bool] | None = None) -> list[tuple[str, tuple[str | int, ...], str, str | None]] | None:
     """(pattern, steps, kind, value) of every value of a JSON object, containers before their contents.
 
+    ``enter`` tells by its pattern whether a container's contents are wanted; others are only checked to be well-formed.
+
     The pattern has members joined by dots and [] for array elements; in it dots, brackets and backslashes of names are
     escaped. Steps are the member names and ordinals themselves. A member given twice in one object counts once, the
     last. None if ``raw`` is not exactly one well-formed object.
@@ -79,6 +97,9 @@ def triples(raw: str) -> list[tuple[str, tuple[str | int, ...], str, str | None]
             begin = len(out)
             if mark:
                 out.append((pattern, _steps(frames), "object" if mark == "{" else "array", None))
+                if enter is not None and top is not None and not enter(pattern) and (past := _pass_by(raw, m.start(1))) is not None:
+                    at, state = past, "next"
+                    continue
                 frames.append(_Frame(mark == "{", pattern, begin))
                 state = "first"
                 continue
@@ -147,69 +168,97 @@ def _shown(steps: Sequence[str | int]) -> str:
 FLAT = "id long, grp string, ords array<int>, kind string, vals map<string,string>, kinds map<string,string>, up map<string,string>, path string, value string"
 
 
-def group(found: list, open_paths: frozenset[str], carry: tuple[str, ...]) -> list[tuple]:
+def _opening(groups: frozenset[str]) -> Callable[[str], bool]:
+    """Whether a container lies on the way to one of the groups, or within it."""
+
+    open_groups = [g for g in groups if g and not g.endswith("[]")]  # all below them is wanted, of an element only its own members
+
+    @lru_cache(maxsize=1 << 16)
+    def enter(pattern: str) -> bool:
+        return any(g == pattern or g.startswith((pattern + ".", pattern + "[")) for g in groups) or any(pattern.startswith((g + ".", g + "[")) for g in open_groups)
+
+    return enter
+
+
+@lru_cache(maxsize=1 << 16)
+def _place(pattern: str, open_paths: frozenset[str]) -> tuple[str | None, int, str, str]:
+    """(open path around a pattern, its number of steps, the group, the rest of the pattern below the group's element)."""
+    inside = next((p for p in open_paths if pattern == p or (pattern.startswith(p) and pattern[len(p)] in ".[")), None)
+    depth = len(re.findall(r"(?<!\\)\[\]|(?<!\\)\.", inside)) + 1 if inside is not None else 0
+    cut = pattern.rfind("[]")
+    while cut > 0 and pattern[cut - 1] == "\\":
+        cut = pattern.rfind("[]", 0, cut)
+    grp, rel = (pattern[: cut + 2], pattern[cut + 2 :].lstrip(".")) if cut >= 0 else ("", pattern)
+    return inside, depth, grp, rel
+
+
+def group(found: list, open_paths: frozenset[str], carry: tuple[str, ...], only: frozenset[str] | None = None) -> list[tuple]:
     """Rows (grp, ords, kind, vals, kinds, up, path, value) of one record's triples.
 
     A row per array element and one for the record (grp ''), and below each of ``open_paths`` a row per scalar, with its path.
+    ``only`` names the groups whose rows are wanted.
     """
     rows: dict[tuple[str, tuple[int, ...]], list] = {}
     free: dict[tuple, tuple] = {}
     for pattern, steps, kind, value in found:
-        inside = next((p for p in open_paths if pattern == p or (pattern.startswith(p) and pattern[len(p)] in ".[")), None)
-        if inside is not None and not (pattern == inside and kind in ("object", "array")):
-            if kind in ("object", "array"):
-                continue
-            depth = len(re.findall(r"(?<!\\)\[\]|(?<!\\)\.", inside)) + 1
-            ords = tuple(x for x in steps[:depth] if isinstance(x, int))
-            free.setdefault((inside, ords, _shown(steps[depth:])), (kind, value))
+        inside, depth, grp, rel = _place(pattern, open_paths)
+        nested = kind in ("object", "array")
+        if inside is not None and not (pattern == inside and nested):
+            if not nested:
+                ords = tuple(x for x in steps[:depth] if isinstance(x, int))
+                free[inside, ords, _shown(steps[depth:])] = (kind, value)
             continue
-        cut = pattern.rfind("[]")
-        while cut > 0 and pattern[cut - 1] == "\\":
-            cut = pattern.rfind("[]", 0, cut)
-        grp, rel = (pattern[: cut + 2], pattern[cut + 2 :].lstrip(".")) if cut >= 0 else ("", pattern)
         ords = tuple(x for x in steps if isinstance(x, int))
         if not rel:
-            rows[grp, ords] = [kind, {} if kind in ("object", "array") else {"": value}, {}]
+            rows[grp, ords] = [kind, {} if nested else {"": value}, {}]
         else:
             row = rows[grp, ords]
             row[2][rel] = kind
-            if kind not in ("object", "array"):
+            if not nested:
                 row[1][rel] = value
     out = []
     for (grp, ords), (kind, vals, kinds) in rows.items():
-        outer = grp[:-2]
-        cut = outer.rfind("[]")
-        above = rows.get((outer[: cut + 2] if cut >= 0 else "", ords[:-1])) if grp else None
-        out.append((grp, ords, kind, vals, kinds, {k: above[1].get(k) for k in carry} if above else {}, None, None))
+        if only is None or grp in only:
+            outer = grp[:-2]
+            cut = outer.rfind("[]")
+            above = rows.get((outer[: cut + 2] if cut >= 0 else "", ords[:-1])) if grp else None
+            out.append((grp, ords, kind, vals, kinds, {k: above[1].get(k) for k in carry} if above else {}, None, None))
     for (inside, ords, path), (kind, value) in free.items():
-        cut = inside.rfind("[]")
-        above = rows.get((inside[: cut + 2] if cut >= 0 else "", ords))
-        out.append((inside, ords, kind, {}, {}, {k: above[1].get(k) for k in carry} if above else {}, path, value))
+        if only is None or inside in only:
+            cut = inside.rfind("[]")
+            above = rows.get((inside[: cut + 2] if cut >= 0 else "", ords))
+            out.append((inside, ords, kind, {}, {}, {k: above[1].get(k) for k in carry} if above else {}, path, value))
     return out
 
 
-def _flatten(batches: Iterator[pd.DataFrame], open_paths: frozenset[str], carry: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+def _flatten(batches: Iterator[pd.DataFrame], open_paths: frozenset[str], carry: tuple[str, ...], only: frozenset[str] | None = None, keys: bool = False) -> Iterator[pd.DataFrame]:
     names = ["id", "grp", "ords", "kind", "vals", "kinds", "up", "path", "value"]
+    enter = _opening(only) if only is not None else None
     for pdf in batches:
         out = []
         for i, raw in zip(pdf["id"].tolist(), pdf["raw"].tolist(), strict=True):
-            found = triples(raw)
-            if found is not None:
-                out += [(i, *row) for row in group(found, open_paths, carry)]
+            found = triples(raw, enter)
+            if found is not None and keys:
+                out += [(i, g, o, k, {}, {}, u, p, None) for g, o, k, _, _, u, p, _ in group(found, open_paths, carry, only)]
+            elif found is not None:
+                out += [(i, *row) for row in group(found, open_paths, carry, only)]
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         yield pd.DataFrame(out, columns=names)
 
 
-def flatten_records(df: DataFrame, id_col: str, raw_col: str, open_paths: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+def flatten_records(df: DataFrame, id_col: str, raw_col: str, open_paths: Sequence[str] = (), carry: Sequence[str] = (), only: Sequence[str] | None = None, keys: bool = False) -> DataFrame:
     """The groups of all records as one long table (see FLAT); ``table_of`` makes one table of a group.
 
+    ``only`` names the groups wanted, all if None: what lies outside them is not read into triples. ``keys`` leaves values out.
+
     Null, broken and non-object records give nothing; equal records under different ids each count; rows without an id are
     dropped; nulls are kept with kind 'null'; an empty array or object is seen only in its owner's ``kinds``.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(raw_col).alias("raw")).dropna()
-    return spread(source).mapInPandas(lambda it: _flatten(it, frozenset(open_paths), tuple(carry)), FLAT)
+    only = None if only is None else frozenset(only)
+    return spread(source).mapInPandas(lambda it: _flatten(it, frozenset(open_paths), tuple(carry), only, keys), FLAT)
 
 
 def table_of(flat: DataFrame, grp: str, ordinals: Sequence[str], columns: dict[str, str] | None = None, where: Column | None = None) -> DataFrame:
@@ -226,9 +275,13 @@ MESSAGES, BLOCKS, PARTS = "messages[]", "messages[].content[]", "messages[].cont
 INPUT = "messages[].content[].input"
 
 
-def session_groups(raw_sessions: DataFrame) -> DataFrame:
-    """The groups of unparsed session lines (line_no, raw)."""
-    return flatten_records(raw_sessions, "line_no", "raw", [INPUT], ["type", "role", "name"])
+# The group each table comes from.
+TABLES = {"sessions": "", "system": SYSTEM, "tools": TOOLS, "messages": MESSAGES, "blocks": BLOCKS, "parts": PARTS, "inputs": INPUT}
+
+
+def session_groups(raw_sessions: DataFrame, only: Sequence[str] | None = None, keys: bool = False) -> DataFrame:
+    """The groups of unparsed session lines (line_no, raw); ``only`` and ``keys`` as in ``flatten_records``."""
+    return flatten_records(raw_sessions, "line_no", "raw", [INPUT], ["type", "role", "name"], only, keys)
 
 
 def session_tables(flat: DataFrame) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from trailbed.operators import arms as A
 from trailbed.operators import audit, cohort, context, evaluation, scoring, selection, stats
 from trailbed.operators import entities as names
 from trailbed.operators.candidates import latest_candidates, long_candidates, long_scores
-from trailbed.operators.flatten import found_rows, session_groups, session_tables
+from trailbed.operators.flatten import BLOCKS, INPUT, MESSAGES, PARTS, TABLES, found_rows, session_groups, session_tables
 from trailbed.operators.positions import anchor_share, anchors, distinct_positions, latest_blocks, messages, positions
 from trailbed.session import table
 
@@ -107,7 +107,8 @@ def _members(row: str, names: list[str]) -> str:
 
 
 def _flat(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return session_tables(session_groups(table(spark, d, "raw_sessions")))[name].withColumnRenamed("id", "line_no")
+    only = [TABLES[name]] if name in TABLES else None
+    return session_tables(session_groups(table(spark, d, "raw_sessions"), only))[name].withColumnRenamed("id", "line_no")
 
 
 @sql(TREE_SQL + """
@@ -117,7 +118,7 @@ UNION ALL SELECT line_no, msg_idx, block_idx, part_idx, '' FROM c WHERE type = '
 UNION ALL SELECT line_no, msg_idx, block_idx, -1, CASE WHEN k2 = '.input' THEN '$' ELSE regexp_replace(replace(k2[7:], '"', ''), '^\\.', '') END
 FROM b JOIN ty USING (line_no, msg_idx, block_idx) WHERE block_type = 'tool_use' AND type NOT IN ('OBJECT', 'ARRAY') AND regexp_matches(k2, '^\\.input($|[.\\[])')""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return found_rows(session_groups(table(spark, d, "raw_sessions")))
+    return found_rows(session_groups(table(spark, d, "raw_sessions"), [MESSAGES, BLOCKS, PARTS, INPUT], keys=True))
 
 
 @sql(_MESSAGES_SQL + f"SELECT line_no, msg_idx, {_members('m', ['role', 'content'])} FROM m")
