@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trailbed.llm.hot import hot_keys
 from trailbed.llm.near_duplicates import NearDuplicates, components, pairs_within, record_text
 
 
@@ -97,3 +98,13 @@ def test_record_text(spark):
     assert [r.t for r in df.select(record_text().alias("t")).collect()] == ["a b ü 3 x", "", None]
     assert NearDuplicates(df.limit(0).select("rec_id", record_text().alias("text"))).pairs().isEmpty()
     assert df.filter(F.size("messages") > 0).count() == 1
+
+
+def test_hot_variant_is_split(spark):
+    """One key holds a third of all rows: every pair is found, and no task joins more than two blocks of it."""
+    rows = [(1, i) for i in range(600)] + [(1000 + i // 2, i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, x long")
+    got = {(r.a, r.b) for r in pairs_within(df, "k", "x", block=100).collect()}
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600)} | {(i, i + 1) for i in range(0, 1200, 2)}
+    assert hot_keys(df, share=4).first().k == 1
+

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from trailbed.llm.codes import Spans, code_points, gram_hashes
+from trailbed.llm.hot import hot_keys, join_hot
 from trailbed.llm.shared_spans import shared_shares, shared_spans
 
 
@@ -56,6 +57,24 @@ def test_shares_cover_every_document(spark):
         assert got[d].shared_chars == sum(e - b for x, b, e in runs if x == d) and got[d].n_chars == len(t or "")
 
 
+def test_header_in_a_third_of_the_documents(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    head = text(400)
+    rows = [(d, (head if d % 3 == 0 else "") + text(150)) for d in range(240)]
+    got = {tuple(x) for x in shared_spans(spark.createDataFrame(rows, "doc_id long, text string"), 70).collect()}
+    assert got == brute(rows, 70) and len(got) == 80
+
+
+def test_join_hot_equals_join(spark):
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(900)] + [(None, 5)], "k long, x long")
+    facts = spark.createDataFrame([(i, i * i) for i in range(0, 900, 2)] + [(1, 1)], "k long, y long").dropDuplicates(["k"])
+    want = {tuple(r) for r in rows.join(facts, "k").collect()}
+    for hot in (hot_keys(rows, share=2), hot_keys(rows).limit(0)):
+        got = [tuple(r) for r in join_hot(rows, facts, "k", hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 

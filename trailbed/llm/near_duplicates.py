@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailbed.llm.codes import U32, U64, gram_hashes, lay, mix64, slices
+from trailbed.llm.hot import hot_keys
 from trailbed.session import materialize, spread
 
 GRAM = 9
@@ -90,11 +91,16 @@ def pairs_within(df: DataFrame, key: str, item: str, block: int = 1000) -> DataF
 
     Keys held by one row are dropped before the join. A key with more than ``block`` rows is split: its rows fall
     into n blocks by hash, and each pair of blocks is joined by itself, so no task holds more than 2 * block of its rows.
-    Nulls in either column give no pair.
+    Hot keys are counted by a hash aggregation, whose sums leave each task as one row per key; only the other keys'
+    rows come together to be counted. Nulls in either column give no pair.
     """
+    rows = df.select(F.col(key).alias("k"), F.col(item).alias("x")).dropna()
+    hot = F.broadcast(hot_keys(rows))  # at most 10,000 keys
+    heavy = rows.join(hot, "k", "left_semi")
+    sizes = F.broadcast(heavy.groupBy("k").agg(F.count("*").alias("n")))  # as many rows as hot keys
+    light = rows.join(hot, "k", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("k")))
     counted = (
-        df.select(F.col(key).alias("k"), F.col(item).alias("x")).dropna()
-        .withColumn("n", F.count("*").over(Window.partitionBy("k")))
+        light.unionByName(heavy.join(sizes, "k"))
         .filter("n > 1")
         .withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))

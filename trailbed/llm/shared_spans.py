@@ -18,7 +18,8 @@ therefore belongs to the chunk that begins at its anchor, in every document alik
 
 The result is exact but for 64-bit digests, which take in the length. All steps
 are hash aggregations and equi-joins: work is linear in the text however many copies a chunk
-has, and a hot digest is aggregated before the shuffle. No pairs of documents are made.
+has. A hot digest is summed up before the shuffle, and its rows are joined where they are, with a
+broadcast of at most 10,000 digests. No pairs of documents are made.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailbed.llm.codes import U32, U64, Spans, lay, slices
+from trailbed.llm.hot import hot_keys, join_hot
 from trailbed.session import materialize, spread
 
 GEAR = 32
@@ -188,10 +190,11 @@ def shared_spans(documents: DataFrame, span: int = 320) -> DataFrame:
     cut = materialize(chunks(documents, span), "p7-chunks")
     # The documents first: a digest seen in one of them only, as most are, carries nothing else through the shuffle.
     common = cut.groupBy("digest").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").select("digest")
-    found = materialize(cut.join(common, "digest"), "p7-shared")
+    hot = materialize(hot_keys(cut.select(F.col("digest").alias("k"), F.xxhash64("doc_id", "cut").alias("x"))), "p7-hot")
+    found = materialize(join_hot(cut, common, "digest", hot), "p7-shared")
     groups = found.groupBy("digest").agg(F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("n_windows").alias("w"))
     groups = groups.select("digest", ((F.col("c0") == F.col("c1")) & (F.col("w") > 0)).alias("same"))
-    seen = found.drop("context").join(groups, "digest")
+    seen = join_hot(found.drop("context"), groups, "digest", hot)
     inner = seen.filter("same").select("doc_id", F.col("first_start").alias("a"), (F.col("first_start") + F.col("n_windows") - 1 + span).alias("b"))
     edges = (
         seen.groupBy("doc_id")
@@ -204,7 +207,8 @@ def shared_spans(documents: DataFrame, span: int = 320) -> DataFrame:
         "p7-edges",
     )
     twice = windows.groupBy("digest").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").select("digest")
-    outer = windows.join(twice, "digest", "left_semi").select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("b"))
+    hot = materialize(hot_keys(windows.select(F.col("digest").alias("k"), F.xxhash64("doc_id", "start").alias("x"))), "p7-hot")
+    outer = join_hot(windows, twice, "digest", hot).select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("b"))
     return merge_runs(inner.unionByName(outer))
 
 
