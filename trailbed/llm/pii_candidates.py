@@ -57,7 +57,7 @@ PHONE = re.compile(rf"(?<![{_L}.+\-/#])(?<!\d:)(?:\+\d{{1,3}}|\(\+?\d{{1,4}}\)|\
 _GROUP = re.compile(r"\(?\+?\d+\)?")
 
 # State-issued numbers by their usual shapes.
-ID_START = re.compile(rf"(?<![{_L}.\-/+])(?=[A-Z]{{0,6}} ?\d)")
+ID_START = re.compile(rf"(?<![{_L}.\-/+])(?=[A-Z]{{0,6}}[- ]?\d(?:[A-Z .+-]?\d){{3}})")
 IDS = tuple(
     re.compile(rf"(?<![{_L}.\-/+]){p}(?![{_L}]|[-./]\d)")
     for p in (
@@ -107,7 +107,7 @@ CJK_BEFORE = frozenset("系人是叫名者找问给由和与及向请跟让被
 CJK_ROLES = "联系 联系人 收件人 寄件人 收货人 负责人 申请人 经办人 主人 客人 户主 用户 客户 作者 姓名 名字 大名 经理 主管 同事 老师 先生 女士 医生 律师 师傅 麻烦 感谢 谢谢 询问 拜托 请问 有请 烦请 抄送 转告 名叫".split()
 CJK_AFTER = frozenset("的说在处负来看给和与会已要把也就是不将去反提写做告回发认先住有能可想问写加用请同修主帮很都又还没刚昨今明于从到经审批")
 CJK_CUE = re.compile(rf"(?:{'|'.join(CJK_ROLES)})(?:是|为|叫)?[：: “\"]{{0,2}}$")
-CJK_NAME = re.compile(rf"(?:(?<![一-鿿])|(?<=[{''.join(sorted(CJK_BEFORE))}])|{'|'.join(f'(?<={w})' for w in CJK_ROLES)})[{''.join(sorted(SURNAMES))}](?=[一-鿿])")
+CJK_NAME = re.compile(rf"[{''.join(sorted(SURNAMES))}](?=[一-鿿])")
 
 _WORDS = lambda s: frozenset(s.split())
 # General vocabulary: function words, words of user interfaces, computing and makers, places and the calendar. Fixed values.
@@ -181,6 +181,15 @@ def _name_spans(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
         yield m.start(), m.end()
 
 
+_ROLE_ENDS = tuple(CJK_ROLES)
+
+
+def _cjk_opens(text: str, at: int) -> bool:
+    """Whether a name may begin here: at the start of a run of Chinese signs, or after a sign or word that names follow."""
+    before = text[at - 1 : at]
+    return not _cjk(before) or before in CJK_BEFORE or text.endswith(_ROLE_ENDS, 0, at)
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping spans of all kinds; meant to miss nothing, not to be right."""
     out: dict[tuple[int, int, int], Span] = {}
@@ -202,8 +211,9 @@ def candidates(text: str) -> list[Span]:
         for i, p in enumerate(IDS):
             if got := p.match(text, m.start()):
                 add(2, got.start(), got.end(), i)
+    coded = bool(_CODE_CITY.search(text))
     for i, (mark, p, city_open) in enumerate(ADDRESSES):
-        if mark.search(text):
+        if coded if mark is _CODE_CITY else mark.search(text):
             for m in p.finditer(text):
                 add(3, m.start(), m.end(), i)
                 if city_open:
@@ -230,7 +240,7 @@ def candidates(text: str) -> list[Span]:
     for m in NAME_CJK.finditer(text):
         add(4, m.start(), m.end(), 2)
     for m in CJK_NAME.finditer(text):
-        for n in (2, 3):
+        for n in (2, 3) if _cjk_opens(text, m.start()) else ():
             if m.start() + n <= len(text) and all("一" <= c <= "鿿" for c in text[m.start() : m.start() + n]):
                 add(4, m.start(), m.start() + n, 3)
     return list(out.values())
