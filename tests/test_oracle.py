@@ -34,5 +34,5 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_query_gives_rows(spark, name):
+    assert QUERIES[name](spark, DATA).count() > 0

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File endings that make a name an entity, and names that never count. Fixed values.
-EXTENSIONS = "py js ts tsx jsx go rs java rb c cc cpp h hpp json yaml yml toml cfg ini md sh sql vue css html".split()
+# Names that never count. Fixed values.
 STOP_ENTITIES = ["tool_use", "tool_result", "assistant", "user_id", "session_id"]
 # Kinds of action by tool name. Fixed values.
 ACTION_KINDS = {
@@ -14,14 +13,11 @@ ACTION_KINDS = {
     "NotebookEdit": "修改notebook", "Bash": "执行一条命令", "WebFetch": "查阅网络资料", "Agent": "派出子任务", "Task": "派出子任务", "TodoWrite": "更新任务清单",
 }
 OTHER_KIND = "调用某个工具"
-#: Ordered alternatives: file paths, snake_case, camelCase, PascalCase, line numbers.
-ENTITY = "|".join([
-    r"[A-Za-z0-9_\-./]+\.(?:" + "|".join(EXTENSIONS) + r")\b",
-    r"\b[a-z_][a-z0-9_]*_[a-z0-9_]+\b",
-    r"\b[a-z]+[A-Z][A-Za-z0-9]+\b",
-    r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b",
-    r"(?:line|行)\s*\d{2,}",
-])
+# What counts as a name, in order: file paths by ending, snake_case, camelCase, PascalCase, line numbers. Fixed values.
+ENTITY = (
+    r"[A-Za-z0-9_\-./]+\.(?:py|js|ts|tsx|jsx|go|rs|java|rb|c|cc|cpp|h|hpp|json|yaml|yml|toml|cfg|ini|md|sh|sql|vue|css|html)\b"
+    r"|\b[a-z_][a-z0-9_]*_[a-z0-9_]+\b|\b[a-z]+[A-Z][A-Za-z0-9]+\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b|(?:line|行)\s*\d{2,}"
+)
 
 
 def strip_ws(c: Column) -> Column:
@@ -71,3 +67,33 @@ def norm_number(c: Column) -> Column:
 def agrees(stated: Column, value: Column, tolerance: Column) -> Column:
     """Whether a stated number is within a relative tolerance of the recomputed one; a tolerance of 0 asks for equality."""
     return F.when(value.isNull() | stated.isNull(), F.lit(False)).when(tolerance == 0, stated == value).otherwise(F.abs(stated - value) <= tolerance * F.greatest(F.abs(stated), F.lit(1e-12)))
+
+
+def differs_by(stated: Column, value: Column, most: Column) -> Column:
+    """Whether a stated number is further than ``most`` from the recomputed one; null counts as further."""
+    return F.coalesce(F.abs(stated - value) > most, F.lit(True))
+
+
+def signed(c: Column, digits: int = 2) -> Column:
+    """A number with its sign, also if positive."""
+    return F.format_string(f"%+.{digits}f", c.cast("double"))
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(c, 0)
+
+
+def path_stem(c: Column) -> Column:
+    """The last part of a path without its last suffix; a leading dot is no suffix."""
+    return F.regexp_extract(c, r"([^/]+?)([.][^./]+)?$", 1)
+
+
+def path_suffix(c: Column) -> Column:
+    """The last suffix of a path with its dot, empty if it has none."""
+    return F.regexp_extract(c, r"([^/]+?)([.][^./]+)?$", 2)
+
+
+def tex_plain(c: Column) -> Column:
+    """Text without the names of TeX macros and braces, white space at the ends removed."""
+    return strip_ws(F.regexp_replace(c, r"\\[A-Za-z]+|[{}]", ""))

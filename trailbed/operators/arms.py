@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from trailbed.functions.text import is_blank, position_key, strip_ws
 
 ARMS = ("B_minus", "B", "R", "R_dense")
+STRIDE = 256  # messages per block
 
 
 def strip_thinking(blocks: Column) -> Column:
@@ -83,11 +84,19 @@ def block_turns(blocks: DataFrame) -> DataFrame:
 def merged_turns(turns: DataFrame, *session: str, opening: str = "(continue)") -> DataFrame:
     """(*session, turn, who, value): neighbours of one speaker joined by newline, so speakers alternate, a human first.
 
-    turns: *session, msg_idx, who, value. Where an assistant begins, a turn 0 with ``opening`` is put before it.
+    turns: *session, msg_idx, who, value, msg_idx unique in its session. Where an assistant begins, a turn 0 with ``opening`` is put before it.
+    Runs are numbered without the texts and in two levels (blocks of messages, then within them), so a runaway session is spread over many tasks.
     """
-    order = Window.partitionBy(*session).orderBy("msg_idx")
-    change = F.coalesce((F.col("who") != F.lag("who").over(order)).cast("int"), F.lit(1))
-    run = turns.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = turns.select(*session, "msg_idx", "who", F.floor(F.col("msg_idx") / STRIDE).alias("far"))
+    inner = Window.partitionBy(*session, "far").orderBy("msg_idx")
+    own = F.coalesce((F.col("who") != F.lag("who").over(inner)).cast("long"), F.lit(0))  # a block's first turn is compared below
+    marks = marks.withColumn("own", own).withColumn("inner", F.sum("own").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = marks.groupBy(*session, "far").agg(F.sum("own").alias("changes"), F.min_by("who", "msg_idx").alias("first"), F.max_by("who", "msg_idx").alias("last"))
+    outer = Window.partitionBy(*session).orderBy("far")  # a row per block of messages
+    blocks = blocks.withColumn("opens", F.coalesce((F.col("first") != F.lag("last").over(outer)).cast("long"), F.lit(1)))
+    start = F.sum("opens").over(outer) + F.coalesce(F.sum("changes").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = marks.join(blocks.select(*session, "far", start.alias("start")), [*session, "far"]).select(*session, "msg_idx", (F.col("start") + F.col("inner")).alias("run"))
+    run = turns.join(runs, [*session, "msg_idx"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "value"))), lambda x: x["value"]), "\n")
     merged = run.groupBy(*session, "run").agg(F.max("who").alias("who"), text.alias("value"))
     opens = merged.filter("run = 1 AND who = 'gpt'").select(*session, F.lit(0).cast("long").alias("turn"), F.lit("human").alias("who"), F.lit(opening).alias("value"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailbed.functions.text import agrees, norm_number
+from trailbed.functions.text import agrees, differs_by, norm_number
 
 
 def verify_claims(claims: DataFrame, metrics: DataFrame) -> DataFrame:
-    """claims: claim, stated, tolerance; metrics: claim, value. Adds value, verdict: ok, differs or missing.
+    """claims: claim, stated, tolerance and, if wanted, relative; metrics: claim, value. Adds value, verdict: ok, differs or missing.
 
-    Whole numbers without a unit must be met exactly.
+    Whole numbers without a unit must be met exactly. A tolerance is relative unless ``relative`` is false, which makes it absolute.
     """
     number = norm_number(F.col("stated"))
     exact = F.col("stated").rlike(r"^[\s+-]*[0-9,]+\s*$")
     ok = agrees(number, F.col("value"), F.when(exact, F.lit(0.0)).otherwise(F.col("tolerance")))
+    if "relative" in claims.columns:
+        ok = F.when(exact | F.col("relative"), ok).otherwise(~differs_by(number, F.col("value"), F.col("tolerance")))
     return claims.join(metrics, "claim", "left").select(
         "claim", "stated", number.alias("number"), F.round("value", 6).alias("value"), F.when(F.col("value").isNull(), "missing").when(ok, "ok").otherwise("differs").alias("verdict")
     )
@@ -82,6 +84,22 @@ def missing_sources(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.filter("source <> ''").join(files.filter("length > 0").select(F.col("path").alias("source")), "source", "left_anti")
 
 
+def without_source(rows: DataFrame) -> DataFrame:
+    """Registered rows (claim, source) that name no source file: a path in back quotes with a slash, or a bare one."""
+    return rows.filter(~F.coalesce("source", F.lit("")).contains("/")).select("claim")
+
+
+def absent(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files (path) that must be there and are not, or are empty. files: path, length."""
+    return wanted.join(files.filter("length > 0").select("path"), "path", "left_anti")
+
+
+def unfinished(docs: DataFrame, key: str, text: str, mark: str = r"\\(?:num|todo)\{", done: str = r"%\s*status:\s*done") -> DataFrame:
+    """Sections said to be done that still hold a placeholder: (key, section, n_marks). A section begins at \\section."""
+    each = docs.select(key, F.posexplode(F.split(text, r"(?=\\section\{)")).alias("section", "body"))
+    return each.filter(F.col("body").rlike(done)).select(key, "section", F.size(F.regexp_extract_all("body", F.lit(mark), F.lit(0))).alias("n_marks")).filter("n_marks > 0")
+
+
 def sample_sizes(counts: DataFrame, contracts: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """contracts: source, expected; counts: source, n. Violations beyond the tolerance."""
     return contracts.join(counts, "source", "left").filter(F.coalesce(F.abs(F.col("n") - F.col("expected")) > tolerance * F.col("expected"), F.lit(True)))

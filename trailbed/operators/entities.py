@@ -38,3 +38,15 @@ def leak_report(leak: DataFrame, scores: DataFrame, threshold: float = 3.0) -> D
     return both.agg(
         F.count("*").alias("n"), F.count_if(~clean).alias("n_leaked"), F.count_if(good).alias("n_by_score"), F.count_if(good & clean).alias("n_by_score_clean")
     )
+
+
+def leak_report_columns(texts: DataFrame, secret: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """texts: key, kind, text, score. Per kind, over keys with a secret name: texts, those that leak and their share, those accepted by score alone and by score without leak."""
+    rows = texts.join(secret.select("key").distinct(), "key", "left_semi")
+    rows = rows.withColumn("names", entities(F.col("text")))
+    own = secret.groupBy("key").agg(F.collect_set("entity").alias("own"))  # names of one action
+    leaked = F.arrays_overlap("names", "own")
+    good = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return rows.join(own, "key").groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_if(leaked).alias("n_leaked"), F.round(F.avg(leaked.cast("double")), 6).alias("leak_rate"), F.count_if(good).alias("n_by_score"), F.count_if(good & ~leaked).alias("n_by_score_clean")
+    )

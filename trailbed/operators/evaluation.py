@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailbed.functions.text import is_blank
 from trailbed.operators.scoring import Scorer
-from trailbed.operators.stats import perplexity
+from trailbed.operators.stats import medians, perplexity
 
 
 def intrinsic(spans: DataFrame, scorer: Scorer) -> DataFrame:
@@ -22,17 +22,35 @@ def intrinsic(spans: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def tool_cases(positions: DataFrame, least_tools: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(cases, tools): the first call of each assistant message in sessions with ``least_tools`` tools or more, and those tools in order."""
+    """(cases, tools): the first call of each assistant message in sessions with ``least_tools`` tools or more, and those tools in order.
+
+    For positions without their sessions' lists of tools: the tools are those that occur. ``eligible_calls`` takes the lists.
+    """
     tools = positions.groupBy("sid").agg(F.array_sort(F.collect_set("action_name")).alias("tools")).filter(F.size("tools") >= least_tools)
     first = positions.groupBy("sid", "msg_idx").agg(F.min_by(F.struct("key", "action_name"), "block_idx").alias("c")).select("sid", "msg_idx", "c.*")
-    return first.join(tools.select("sid"), "sid", "left_semi"), tools.select("sid", F.posexplode("tools").alias("tool_idx", "tool"))
+    return first.join(tools.select("sid"), "sid", "left_semi"), tools
+
+
+def eligible_calls(calls: DataFrame, tools: DataFrame, least_tools: int = 2) -> DataFrame:
+    """(session, msg_idx, block_idx, name, n_tools): of each message the first call whose tool is among its session's own tools.
+
+    calls: session, msg_idx, block_idx, name; tools: session, name. Sessions with fewer than ``least_tools`` distinct tools have none.
+    """
+    known = tools.select("session", "name").dropna().distinct()
+    enough = known.groupBy("session").agg(F.count("*").alias("n_tools")).filter(F.col("n_tools") >= least_tools)
+    own = calls.join(known, ["session", "name"]).groupBy("session", "msg_idx").agg(F.min_by(F.struct("block_idx", "name"), "block_idx").alias("c"))
+    return own.join(enough, "session").select("session", "msg_idx", "c.*", "n_tools")
 
 
 def action_top1(cases: DataFrame, tools: DataFrame, contexts: DataFrame, scorer: Scorer) -> DataFrame:
-    """(key, action_name, guess, correct): the tool whose name scores best per token, the first in order among equals."""
-    pairs = cases.join(contexts, ["sid", "msg_idx"]).join(tools, "sid").select("key", "action_name", "tool_idx", "tool", F.col("context").alias("prefix"), F.col("tool").alias("target"))
-    scored = scorer(pairs).withColumn("s", F.round(F.col("logprob") / F.greatest("n_tok", F.lit(1)), 9))
-    return scored.groupBy("key", "action_name").agg(F.max_by("tool", F.struct("s", -F.col("tool_idx"))).alias("guess")).withColumn("correct", F.col("guess") == F.col("action_name"))
+    """(key, action_name, guess, correct): the tool whose name scores best per token, the first in order among equals.
+
+    tools: sid and the array ``tools`` in order. A case is one row with its context once, whatever the number of tools.
+    """
+    rows = cases.join(contexts, ["sid", "msg_idx"]).join(tools, "sid").select("key", "action_name", "tools", F.col("context").alias("prefix"), F.col("tools").alias("targets"))
+    scored = scorer(rows)
+    per = F.transform("scored", lambda x, i: F.struct(F.round(x["logprob"] / F.greatest(x["n_tok"], F.lit(1)), 9).alias("s"), (-i).alias("at")))
+    return scored.select("key", "action_name", F.get("tools", -F.array_max(per)["at"]).alias("guess")).withColumn("correct", F.col("guess") == F.col("action_name"))
 
 
 def accuracy(top1: DataFrame, most: int = 8) -> DataFrame:
@@ -83,9 +101,8 @@ def position_value(positions: DataFrame, scores: DataFrame) -> DataFrame:
 def provider_yield(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per provider: scored texts, shares at or above 0, 1 and 3, the median score."""
     rows = scores.join(candidates.select("key", F.coalesce("provider", F.lit("?")).alias("provider")), "key").filter("s_suff IS NOT NULL")
-    return rows.groupBy("provider").agg(
-        F.count("*").alias("n"), *[F.round(F.avg((F.col("s_suff") >= t).cast("double")), 6).alias(f"pass_{t}") for t in (0, 1, 3)], F.round(F.median("s_suff"), 6).alias("median_suff")
-    )
+    rates = rows.groupBy("provider").agg(F.count("*").alias("n"), *[F.round(F.avg((F.col("s_suff") >= t).cast("double")), 6).alias(f"pass_{t}") for t in (0, 1, 3)])
+    return rates.join(medians(rows, ["s_suff"], ["provider"]).withColumnRenamed("median_s_suff", "median_suff"), "provider")
 
 
 def session_tools(sessions: DataFrame) -> DataFrame:
@@ -93,3 +110,19 @@ def session_tools(sessions: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.filter(F.transform("tools", lambda t: t["name"]), lambda n: n.isNotNull())))
     names = F.coalesce(names, F.array().cast("array<string>"))
     return sessions.select("rec_id", F.size(names).cast("long").alias("n_tools"), F.array_join(names, ",").alias("tools"))
+
+
+def count_map(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, counts): how often each name occurs, as a map; names are counted before they are put together, so a map holds distinct names only."""
+    each = rows.groupBy(by, name).agg(F.count("*").alias("n"))
+    return each.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(name, "n"))).alias("counts"))
+
+
+def sum_values(counts: Column) -> Column:
+    """The sum over all values of a map."""
+    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def sum_of(counts: Column, keys: list[str]) -> Column:
+    """The sum over a fixed list of keys; absent ones count nothing."""
+    return sum((F.coalesce(F.try_element_at(counts, F.lit(k)), F.lit(0).cast("long")) for k in keys), F.lit(0).cast("long"))

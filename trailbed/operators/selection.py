@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailbed.operators.stats import medians
+
 NO_SCORE = -1e9
 
 
@@ -31,7 +33,6 @@ def funnel(scores: DataFrame) -> DataFrame:
 def best_minus_single(scores: DataFrame) -> DataFrame:
     """Median of each group's best clean score less the median of all clean scores."""
     clean = scores.filter("NOT leaked AND s_suff IS NOT NULL")
-    best = clean.groupBy("key").agg(F.max("s_suff").alias("s")).agg(F.median("s").alias("median_best"))
-    return best.crossJoin(clean.agg(F.median("s_suff").alias("median_single"))).select(  # one row with one row
-        F.round("median_best", 6).alias("median_best"), F.round("median_single", 6).alias("median_single"), F.round(F.col("median_best") - F.col("median_single"), 6).alias("gain")
-    )
+    best = clean.groupBy("key").agg(F.max("s_suff").alias("best")).select("best", F.lit(None).cast("double").alias("single"))
+    both = best.unionByName(clean.select(F.lit(None).cast("double").alias("best"), F.col("s_suff").alias("single")))
+    return medians(both, ["best", "single"]).select("median_best", "median_single", F.round(F.col("median_best") - F.col("median_single"), 6).alias("gain"))

@@ -2,34 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailbed.session import materialize
+
+SALTS = 32
+
+
+def at_ranks(values: DataFrame, ranks: Callable[[Column], list[tuple[Column, Column]]], bins: int = 4096) -> DataFrame:
+    """(g, q, value): of each group ``g`` of (g, v, n), n counting equal values, the values at the ranks from 0 that ``ranks`` gives as (q, rank) of the group's total.
+
+    Running counts are taken in two levels: over equal-width bins of a group's range, then over the distinct values of the
+    bin a rank falls in. So no task sorts or holds all values of a group.
+    """
+    span = values.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    # A group's values are joined with its span in SALTS parts, so that a hot group is spread over as many tasks.
+    each = span.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    binned = values.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(each, ["g", "salt"]).drop("salt").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), place)).otherwise(F.lit(0)).cast("int"))
+    level = binned.groupBy("g", "bin").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows of a group
+    level = level.withColumn("under", F.coalesce(F.sum("m").over(upto), F.lit(0)))
+    wanted = F.explode(F.array(*[F.struct(q.alias("q"), r.cast("long").alias("rank")) for q, r in ranks(F.col("total"))])).alias("w")
+    hit = level.select("g", "bin", "m", "under", wanted).select("g", "bin", "m", "under", "w.*").filter((F.col("rank") >= F.col("under")) & (F.col("rank") < F.col("under") + F.col("m")))
+    inner = binned.select("g", "bin", "v", "n").join(hit.select("g", "bin", "q", "rank", "under"), ["g", "bin"])
+    run = F.sum("n").over(Window.partitionBy("g", "q").orderBy("v"))
+    return inner.withColumn("upto", F.col("under") + run).filter("rank < upto").groupBy("g", "q").agg(F.min("v").alias("value"))
+
+
+def counted(df: DataFrame, column: str, group: Column) -> DataFrame:
+    """(g, v, n): the distinct values of a column by group, without nulls and NaN."""
+    return df.select(group.alias("g"), F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "v").agg(F.count("*").alias("n"))
+
 
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Exact medians (the mean of the middle two) without nulls; null where there is no value."""
-    return df.groupBy(*by).agg(*[F.round(F.median(c), 6).alias(f"median_{c}") for c in columns])
+    """Exact medians (the mean of the middle two) without nulls; null where there is no value. One row without ``by``, also for no rows.
+
+    All columns go through one pass as (group, column, value).
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    long = df.select(key.alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("key", "x.*")
+    values = counted(long, "v", F.struct("key", "c"))
+    middle = at_ranks(values, lambda n: [(F.lit(0), F.floor((n - 1) / 2)), (F.lit(1), F.floor(n / 2))]).groupBy("g").agg(F.avg("value").alias("m"))
+    of = [F.round(F.max(F.when(F.col("g.c") == c, F.col("m"))), 6).alias(f"median_{c}") for c in columns]
+    if not by:
+        return middle.agg(*of)
+    wide = middle.groupBy(F.col("g.key").alias("key")).agg(*of)
+    return df.select(*by).distinct().withColumn("key", key).join(wide, "key", "left").drop("key")
 
 
 def index_quantiles(df: DataFrame, column: str, at: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """(q, value) with value = sorted[int(n * q)], nulls left out; no rows for no values.
+    """(q, value) with value = sorted[int(n * q)], nulls left out; no rows for no values."""
+    got = at_ranks(counted(df, column, F.lit(0)), lambda n: [(F.lit(float(q)), F.floor(n * q)) for q in at])
+    return got.select("q", F.round("value", 6).alias("value"))
+
+
+def running_medians(df: DataFrame, order: str, column: str, points: int = 10) -> DataFrame:
+    """(point, n, median): the median of the first n of all rows by a unique ``order``, at ``points`` evenly spaced places, nulls of the column left out.
 
-    Values are counted first and ranked by running counts in two levels: equal-width bins over the value range, then the
-    distinct values within the one bin each rank falls in. So no task sorts the whole column.
+    Rows are placed among the points by quantiles of their order, so nothing is sorted as a whole; each row counts at no more than
+    ``points`` places.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
-    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    bins = values.crossJoin(F.broadcast(span)).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(4095), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096))).otherwise(F.lit(0)))  # one row
-    level = bins.groupBy("bin").agg(F.sum("n").alias("m"))
-    below = level.select("bin", "m", F.coalesce(F.sum("m").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("under"))  # at most 4096 rows
-    want = span.filter("total > 0").select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.floor(F.col("total") * q).alias("rank")) for q in at])).alias("x")).select("x.*")
-    hit = F.broadcast(want.join(F.broadcast(below), (F.col("rank") >= F.col("under")) & (F.col("rank") < F.col("under") + F.col("m"))).select("q", "rank", "bin", "under"))  # a row per quantile
-    inner = bins.select("v", "n", "bin").join(hit, "bin")
-    upto = F.sum("n").over(Window.partitionBy("q").orderBy("v"))
-    return inner.withColumn("upto", F.col("under") + upto).filter("rank < upto").groupBy("q").agg(F.round(F.min("v"), 6).alias("value"))
+    rows = df.select(F.col(order).alias("o"), F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND o IS NOT NULL")
+    total = rows.agg(F.count("*").alias("n"))
+    ranked = numbered(rows, "o")
+    cut = rows.sparkSession.range(1, points + 1).select(F.col("id").cast("int").alias("point"))
+    ends = cut.join(F.broadcast(total)).select("point", F.floor(F.col("n") * F.col("point") / points).alias("n")).filter("n > 0")  # one row
+    marks = ends.agg(F.collect_list(F.struct("point", "n")).alias("ends"))
+    long = ranked.join(F.broadcast(marks)).select("v", F.explode(F.filter("ends", lambda e: e["n"] > F.col("rank"))).alias("e"))  # one row of ``points`` marks
+    got = medians(long.select(F.col("e.point").alias("point"), F.col("e.n").alias("n"), "v"), ["v"], ["point", "n"])
+    return got.select("point", "n", F.col("median_v").alias("median"))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with ``rank``, their place from 0 by a unique ``order``; ranges of the order are counted by themselves and their counts summed up."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    ranged = materialize(rows.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("inner", inner).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("rank", F.col("before") + F.col("inner")).drop("inner", "before", "part")
 
 
 def pass_rates(df: DataFrame, column: str, thresholds: Sequence[float], at_least: bool = True) -> DataFrame:

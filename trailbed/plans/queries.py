@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailbed.functions.text import ENTITY, action_kind, entities, is_blank, parent_key, parse_candidates, position_key
+from trailbed.functions.text import ENTITY, action_kind, entities, is_blank, parent_key, parse_candidates, path_stem, path_suffix, signed, thousands
 from trailbed.operators import arms as A
 from trailbed.operators import audit, cohort, context, evaluation, scoring, selection, stats
 from trailbed.operators import entities as names
 from trailbed.operators.candidates import latest_candidates, long_candidates, long_scores
-from trailbed.operators.flatten import BLOCKS, INPUT, MESSAGES, PARTS, TABLES, found_rows, session_groups, session_tables
+from trailbed.operators.flatten import BLOCKS, INPUT, MESSAGES, PARTS, TABLES, TOOLS, found_rows, session_groups, session_tables
 from trailbed.operators.positions import anchor_share, anchors, distinct_positions, latest_blocks, messages, positions
 from trailbed.session import table
 
@@ -136,7 +136,13 @@ def p4_parts(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "parts")
 
 
-@query
+_INPUT_PATH = "CASE WHEN k2 = '.input' THEN '$' ELSE regexp_replace(replace(k2[7:], '\"', ''), '^\\.', '') END"
+
+
+@sql(TREE_SQL + f""", nm AS (SELECT line_no, msg_idx, block_idx, json_extract_string(atom, '$') AS tool_name FROM b WHERE k2 = '.name' AND type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT line_no, msg_idx, block_idx, {_INPUT_PATH} AS path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+CASE WHEN type <> 'NULL' THEN json_extract_string(atom, '$') END AS value, tool_name
+FROM b JOIN ty USING (line_no, msg_idx, block_idx) LEFT JOIN nm USING (line_no, msg_idx, block_idx) WHERE block_type = 'tool_use' AND type NOT IN ('OBJECT', 'ARRAY') AND regexp_matches(k2, '^\\.input($|[.\\[])')""")
 def p4_inputs(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "inputs")
 
@@ -146,12 +152,18 @@ def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "sessions")
 
 
-@query
+def _elements_sql(member: str, names: list[str]) -> str:
+    return f"""WITH o AS (SELECT line_no, raw::JSON AS j FROM raw_sessions WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+e AS (SELECT line_no, CAST(i AS INT) AS {member.rstrip("s")}_idx, json_extract(j, '$.{member}[' || i || ']') AS e FROM (SELECT *, unnest(range(0, json_array_length(j, '$.{member}')::BIGINT)) AS i FROM o WHERE json_type(j, '$.{member}') = 'ARRAY'))
+SELECT line_no, {member.rstrip("s")}_idx, {_members("e", names)} FROM e WHERE json_type(e) = 'OBJECT'"""
+
+
+@sql(_elements_sql("system", ["type", "text"]))
 def p4_system(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "system")
 
 
-@query
+@sql(_elements_sql("tools", ["name"]))
 def p4_tools(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "tools")
 
@@ -247,26 +259,24 @@ def _prompts(spark: SparkSession, d: str, template: str, max_chars: int, action_
     return rows.select("key", context.prompts(template, F.col("context"), action_kind(F.col("action_name")), context.action_text(F.col("action_name"), F.col("action_input"), action_cap)).alias("prompt"))
 
 
-def _prompts_sql(template: str, max_chars: int = 2000, parts: str = "v_parts", action: str = _ACTION_SQL) -> str:
+def _prompts_sql(template: str, max_chars: int = 9000, parts: str = "v_parts", action: str = _ACTION_SQL) -> str:
     fill = f"replace(replace(replace(replace('{template}', '{{n}}', '4'), '{{kind}}', {_KINDS_SQL}), '{{action}}', {action}), '{{context}}', context)"
     return _context_sql(max_chars, parts).replace("SELECT a.sid", ", c AS (SELECT a.sid", 1) + f") SELECT key, {fill} AS prompt FROM v_pos JOIN c USING (sid, msg_idx)"
 
 
 @sql(_prompts_sql(context.COARSE))
 def prompts_coarse(spark: SparkSession, d: str) -> DataFrame:
-    """Of the last 2,000 characters only, as its SQL fixes; prompts_coarse_9000 has the whole context."""
-    return _prompts(spark, d, context.COARSE, 2000)
+    """Without the action, which only its kind stands for; of the last 9,000 characters, as long as the reference's."""
+    return _prompts(spark, d, context.COARSE, 9000)
 
 
 @sql(_prompts_sql(context.FULL))
 def prompts_full(spark: SparkSession, d: str) -> DataFrame:
-    """Of the last 2,000 characters only, as its SQL fixes; prompts_full_24000 has the whole context."""
-    return _prompts(spark, d, context.FULL, 2000)
+    """With the action; of the last 9,000 characters, as long as the reference's for texts that know the action."""
+    return _prompts(spark, d, context.FULL, 9000)
 
 
-@sql(_prompts_sql(context.COARSE, 9000))
-def prompts_coarse_9000(spark: SparkSession, d: str) -> DataFrame:
-    return _prompts(spark, d, context.COARSE, 9000)
+QUERIES["prompts_coarse_9000"], ORACLE["prompts_coarse_9000"] = QUERIES["prompts_coarse"], ORACLE["prompts_coarse"]
 
 
 @sql(_prompts_sql(context.FULL, 24000, _LONG_PARTS, _ACTION_SQL.replace("400", "1500")))
@@ -341,6 +351,20 @@ def leak_report(spark: SparkSession, d: str) -> DataFrame:
     return names.leak_report(_leaks(spark, d), _scores(spark, d))
 
 
+@sql(SECRETS_SQL + f""", texts AS (SELECT key, 'first' AS kind, r AS text, s_suff AS score FROM v_lcand LEFT JOIN v_scores USING (key, cand_idx, r) WHERE cand_idx = 0 UNION ALL SELECT key, 'second', r, s_suff FROM v_lcand LEFT JOIN v_scores USING (key, cand_idx, r) WHERE cand_idx = 1
+UNION ALL SELECT key, 'real', real_thinking_summary, NULL FROM v_anchor),
+t AS (SELECT row_number() OVER () AS id, * FROM texts WHERE key IN (SELECT key FROM secret)),
+hit AS (SELECT DISTINCT id FROM (SELECT id, key, unnest({_ents_sql('text')}) AS entity FROM t) JOIN secret USING (key, entity))
+SELECT kind, count(*) AS n, count(*) FILTER (id IN (SELECT id FROM hit)) AS n_leaked, round(avg((id IN (SELECT id FROM hit))::INT::DOUBLE), 6) AS leak_rate, count(*) FILTER (coalesce(score >= 3, false)) AS n_by_score,
+count(*) FILTER (coalesce(score >= 3, false) AND id NOT IN (SELECT id FROM hit)) AS n_by_score_clean FROM t GROUP BY kind""")
+def leak_report_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The leak report of several text columns at once: two candidates and the recorded reasoning, over positions that have a secret name."""
+    both = long_candidates(_candidates(spark, d)).filter("cand_idx < 2").join(_scores(spark, d).select("key", "cand_idx", "r", F.col("s_suff").alias("score")), ["key", "cand_idx", "r"], "left")
+    texts = both.select("key", F.when(F.col("cand_idx") == 0, "first").otherwise("second").alias("kind"), F.col("r").alias("text"), "score")
+    real = anchors(_given(spark, d)).select("key", F.lit("real").alias("kind"), F.col("real_thinking_summary").alias("text"), F.lit(None).cast("double").alias("score"))
+    return names.leak_report_columns(texts.unionByName(real), _secrets(spark, d))
+
+
 # Ledger, cohorts and samples
 
 
@@ -371,19 +395,71 @@ def first_pending(spark: SparkSession, d: str) -> DataFrame:
     return cohort.first_rows(cohort.pending(_given(spark, d), table(spark, d, "candidates")), 500, "sid", "msg_idx", "block_idx").select("key")
 
 
-@query
+@sql("SELECT key FROM v_anchor ORDER BY md5('7:' || key), key LIMIT 500")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = anchors(_given(spark, d))
     return cohort.first_rows(rows, 500, cohort.seeded_order(F.col("key"), 7), "key").select("key")
 
 
-@query
+@sql("SELECT CAST(CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) % 4 AS INT) AS shard, count(*) AS n FROM v_pos GROUP BY 1")
 def shard_partition(spark: SparkSession, d: str) -> DataFrame:
     rows = _given(spark, d).select("key")
     parts = [rows.filter(cohort.in_shard(F.col("key"), i, 4)).withColumn("shard", F.lit(i)) for i in range(4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("shard").agg(F.count("*").alias("n"))
 
 
+@sql("WITH p AS (SELECT regexp_replace(key, ':[^:]*$', '') AS short_key, arg_max(action_name, block_idx) AS action_name FROM v_pos GROUP BY 1) SELECT DISTINCT key, short_key, action_name FROM (SELECT key, regexp_replace(key, ':[^:]*$', '') AS short_key FROM v_cand) JOIN p USING (short_key)")
+def short_key_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate keys joined with positions on (session, message) alone; of several calls in a message the last one counts."""
+    return cohort.by_short_key(_candidates(spark, d).select("key"), _given(spark, d), "action_name")
+
+
+_FIXED_TOOLS = ["Read", "Grep", "Glob", "Edit", "Write"]  # Fixed values
+
+
+@sql(f"SELECT sid, count(*) AS n_calls, count(*) FILTER (action_name IN ({', '.join(repr(t) for t in _FIXED_TOOLS)})) AS n_file_calls, count(DISTINCT action_name) AS n_tools FROM v_pos GROUP BY sid")
+def tool_map_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Per session a map of tool to number of calls, its values summed up in all and over a fixed list of keys."""
+    per = evaluation.count_map(_given(spark, d), "sid", "action_name")
+    return per.select("sid", evaluation.sum_values(F.col("counts")).alias("n_calls"), evaluation.sum_of(F.col("counts"), _FIXED_TOOLS).alias("n_file_calls"), F.size("counts").cast("long").alias("n_tools"))
+
+
+_CALLS_SQL = _MESSAGES_SQL + """, known AS (SELECT DISTINCT line_no, json_extract_string(t, '$.name') AS name FROM (SELECT line_no, json_extract(j, '$.tools[' || i || ']') AS t FROM (SELECT *, unnest(range(0, json_array_length(j, '$.tools')::BIGINT)) AS i FROM o WHERE json_type(j, '$.tools') = 'ARRAY')) WHERE json_type(t, '$.name') = 'VARCHAR'),
+enough AS (SELECT line_no, count(*) AS n_tools FROM known GROUP BY line_no HAVING count(*) >= 2),
+call AS (SELECT line_no, msg_idx, block_idx, json_extract_string(b, '$.name') AS name FROM b JOIN m USING (line_no, msg_idx) WHERE json_extract_string(m, '$.role') = 'assistant' AND json_type(b) = 'OBJECT' AND json_extract_string(b, '$.type') = 'tool_use' AND json_type(b, '$.name') = 'VARCHAR'),
+own AS (SELECT line_no, msg_idx, min(block_idx) AS block_idx FROM call JOIN known USING (line_no, name) GROUP BY ALL),
+eligible AS (SELECT line_no AS session, msg_idx, block_idx, name, n_tools FROM own JOIN call USING (line_no, msg_idx, block_idx) JOIN enough USING (line_no))
+"""
+
+
+def _eligible(spark: SparkSession, d: str) -> DataFrame:
+    flat = session_groups(table(spark, d, "raw_sessions"), [BLOCKS, TOOLS])
+    named = (F.col("kind") == "object") & (F.col("kinds")["name"] == "string")
+    calls = flat.filter((F.col("grp") == BLOCKS) & named & (F.col("vals")["type"] == "tool_use") & (F.col("up")["role"] == "assistant"))
+    calls = calls.select(F.col("id").alias("session"), F.col("ords")[0].alias("msg_idx"), F.col("ords")[1].alias("block_idx"), F.col("vals")["name"].alias("name"))
+    tools = flat.filter((F.col("grp") == TOOLS) & named).select(F.col("id").alias("session"), F.col("vals")["name"].alias("name"))
+    return evaluation.eligible_calls(calls, tools)
+
+
+@sql(_CALLS_SQL + "SELECT * FROM eligible")
+def eligible_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation cases of whole records: of each assistant message the first call of a tool that its session lists."""
+    return _eligible(spark, d)
+
+
+@sql(_CALLS_SQL + "SELECT * FROM eligible ORDER BY session, msg_idx LIMIT 400")
+def first_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The first 400 cases in the order of records and messages."""
+    return cohort.first_rows(_eligible(spark, d), 400, "session", "msg_idx")
+
+
+@sql("SELECT key, regexp_extract(path, '([^/]+?)([.][^./]+)?$', 1) AS stem, regexp_extract(path, '([^/]+?)([.][^./]+)?$', 2) AS suffix FROM (SELECT key, regexp_extract(action_input, '\"(?:file_path|path)\"\\s*:\\s*\"([^\"\\\\]+)\"', 1) AS path FROM v_pos) WHERE path <> ''")
+def action_files(spark: SparkSession, d: str) -> DataFrame:
+    """Stem and suffix of the file an action names."""
+    path = F.regexp_extract("action_input", r'"(?:file_path|path)"\s*:\s*"([^"\\]+)"', 1)
+    return _given(spark, d).select("key", path.alias("path")).filter("path <> ''").select("key", path_stem(F.col("path")).alias("stem"), path_suffix(F.col("path")).alias("suffix"))
+
+
 # Selection and statistics
 
 
@@ -402,6 +478,20 @@ def dual_verdict(spark: SparkSession, d: str) -> DataFrame:
     return selection.dual_verdict(_scores(spark, d)).select("key", "cand_idx", "s_suff", "s_nat", "passed")
 
 
+@sql("SELECT key, cand_idx, coalesce(s_suff >= 3.0 AND s_nat >= -2.8, false) AS passed FROM v_scores")
+def dual_verdict_strict(spark: SparkSession, d: str) -> DataFrame:
+    return selection.dual_verdict(_scores(spark, d), 3.0, -2.8).select("key", "cand_idx", "passed")
+
+
+@sql("""WITH s AS (SELECT s_suff AS v, row_number() OVER (ORDER BY key || ':' || lpad(CAST(cand_idx AS VARCHAR), 4, '0')) AS i, count(*) OVER () AS total FROM v_scores WHERE s_suff IS NOT NULL),
+p AS (SELECT CAST(unnest(range(1, 11)) AS INT) AS point)
+SELECT point, CAST(total * point // 10 AS BIGINT) AS n, round(median(v), 6) AS median FROM p JOIN s ON i <= total * point // 10 GROUP BY point, total""")
+def running_medians(spark: SparkSession, d: str) -> DataFrame:
+    """The median score of the first tenth, two tenths, … of all scores by key."""
+    rows = _scores(spark, d).withColumn("place", F.concat_ws(":", "key", F.lpad(F.col("cand_idx").cast("string"), 4, "0")))
+    return stats.running_medians(rows, "place", "s_suff")
+
+
 @sql("WITH c AS (SELECT * FROM v_scores WHERE NOT leaked AND s_suff IS NOT NULL), b AS (SELECT median(s) AS m FROM (SELECT max(s_suff) AS s FROM c GROUP BY key)), o AS (SELECT median(s_suff) AS m FROM c) SELECT round(b.m, 6) AS median_best, round(o.m, 6) AS median_single, round(b.m - o.m, 6) AS gain FROM b, o")
 def best_minus_single_median(spark: SparkSession, d: str) -> DataFrame:
     return selection.best_minus_single(_scores(spark, d))
@@ -452,6 +542,15 @@ def mismatch_negative(spark: SparkSession, d: str) -> DataFrame:
     return scoring.mismatched(anchors(_given(spark, d))).select("key", "other")
 
 
+@sql("""WITH a AS (SELECT sid, key, real_thinking_summary AS t, row_number() OVER (PARTITION BY sid ORDER BY md5('11:' || key), key) - 1 AS place, count(*) OVER (PARTITION BY sid) AS m FROM v_anchor),
+s AS (SELECT sid, m, md5('11:' || sid) AS h FROM (SELECT DISTINCT sid, m FROM a)),
+r AS (SELECT sid, coalesce(lead(sid) OVER (ORDER BY h), first_value(sid) OVER (ORDER BY h)) AS lender FROM s)
+SELECT a.key, l.t AS other FROM a JOIN r USING (sid) LEFT JOIN s ON s.sid = lender AND lender <> a.sid LEFT JOIN a l ON l.sid = s.sid AND l.place = CAST('0x' || substr(md5(a.key), 1, 7) AS BIGINT) % s.m""")
+def random_control(spark: SparkSession, d: str) -> DataFrame:
+    """Each anchor with a text of another session, drawn by a seed."""
+    return scoring.random_control(anchors(_given(spark, d))).select("key", "other")
+
+
 # Arms and turns
 
 
@@ -557,18 +656,25 @@ def _stand_in(spark: SparkSession, d: str, max_chars: int) -> DataFrame:
     return got.select("key", "cand_idx", *[F.round(c, 6).alias(c) for c in ("base", "s_suff", "s_nat")])
 
 
-@sql(_stand_in_sql(1000))
+@sql(_stand_in_sql(9000))
 def stand_in_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Over the last 1,000 characters only, as its SQL fixes; stand_in_scores_9000 has the whole context."""
-    return _stand_in(spark, d, 1000)
+    return _stand_in(spark, d, 9000)
 
 
-@sql(_stand_in_sql(9000))
-def stand_in_scores_9000(spark: SparkSession, d: str) -> DataFrame:
-    return _stand_in(spark, d, 9000)
+QUERIES["stand_in_scores_9000"], ORACLE["stand_in_scores_9000"] = QUERIES["stand_in_scores"], ORACLE["stand_in_scores"]
 
 
-@query
+def _with_contexts(max_chars: int, parts: str = "v_parts") -> str:
+    return _context_sql(max_chars, parts).replace("SELECT a.sid", ", ctx AS (SELECT a.sid", 1) + ")"
+
+
+def _sums(tag: str) -> str:
+    return f"coalesce(sum(logprob) FILTER (tag = '{tag}'), 0) / greatest(coalesce(sum(n_tok) FILTER (tag = '{tag}'), 0), 1)"
+
+
+@sql(_with_contexts(9000) + f""", rows AS (SELECT row_number() OVER () AS id, * FROM v_pos JOIN ctx USING (sid, msg_idx)),
+sp AS (SELECT id, 'think' AS tag, context AS prefix, left(real_thinking_summary, 800) AS target FROM rows WHERE {_IS_REAL} UNION ALL SELECT id, 'action', context, {_ACTION_SQL} FROM rows)
+SELECT round(exp(-{_sums('think')}), 6) AS think_ppl, (SELECT count(*) FROM sp WHERE tag = 'think') AS think_spans, round({_sums('action')}, 6) AS action_lp_per_tok, (SELECT count(*) FROM sp WHERE tag = 'action') AS action_spans FROM {_lp_sql('sp', 'id, tag')}""")
 def intrinsic_report(spark: SparkSession, d: str) -> DataFrame:
     rows = _given(spark, d).join(_contexts(spark, d, 9000), ["sid", "msg_idx"])
     think = rows.filter(~is_blank(F.col("real_thinking_summary"))).select(F.lit("think").alias("tag"), F.col("context").alias("prefix"), F.left("real_thinking_summary", F.lit(800)).alias("target"))
@@ -581,17 +687,38 @@ def _top1(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.action_top1(cases, tools, _contexts(spark, d, 9000), scoring.stand_in())
 
 
-@query
+_TOP1_SQL = _with_contexts(9000) + f""", tools AS (SELECT sid, list_sort(list_distinct(list(action_name))) AS tools FROM v_pos GROUP BY sid HAVING count(DISTINCT action_name) >= 2),
+cases AS (SELECT sid, msg_idx, arg_min(key, block_idx) AS key, arg_min(action_name, block_idx) AS action_name FROM v_pos GROUP BY sid, msg_idx),
+pr AS (SELECT key, action_name, CAST(i AS INT) AS i, tools[i] AS tool, context AS prefix, tools[i] AS target FROM (SELECT key, action_name, tools, context, unnest(range(1, len(tools) + 1)) AS i FROM cases JOIN tools USING (sid) JOIN ctx USING (sid, msg_idx))),
+g AS (SELECT key, action_name, tool, row_number() OVER (PARTITION BY key ORDER BY round(logprob / greatest(n_tok, 1), 9) DESC, i) AS k FROM {_lp_sql('pr', 'key, action_name, i, tool')}),
+top1 AS (SELECT key, action_name, tool AS guess, tool = action_name AS correct FROM g WHERE k = 1)
+"""
+
+
+@sql(_TOP1_SQL + "SELECT * FROM top1")
 def action_top1(spark: SparkSession, d: str) -> DataFrame:
     return _top1(spark, d)
 
 
-@query
+@sql(_TOP1_SQL + "SELECT action_name AS tool, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS acc FROM top1 GROUP BY action_name ORDER BY n DESC, tool LIMIT 8")
 def per_tool_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.accuracy(_top1(spark, d))
 
 
-@query
+_RING_SQL = ORACLE["mismatch_negative"].split("SELECT key, other FROM")[0]
+_RING_SQL = _RING_SQL[_RING_SQL.index("f AS (SELECT sid, arg_min") :]
+
+
+def _suff_sql(texts: dict[str, str]) -> str:
+    """CTEs b (base by key) and s (key, ci, suff, nat) over rows ``a`` (key, context, action) with a text in each of the named columns."""
+    long = " UNION ALL ".join(f"SELECT key, {i} AS ci, context, action, {t} AS r FROM a WHERE {t} IS NOT NULL" for i, t in enumerate(texts.values()))
+    return f""", long AS ({long}), sx AS (SELECT key, ci, context || chr(10) || r AS prefix, action AS target FROM long), nx AS (SELECT key, ci, context AS prefix, r AS target FROM long), bx AS (SELECT key, context AS prefix, action AS target FROM a),
+s AS (SELECT x.key, x.ci, b.logprob AS base, x.logprob - b.logprob AS suff, n.logprob / n.n_tok AS nat FROM {_lp_sql('sx', 'key, ci')} x JOIN {_lp_sql('bx', 'key')} b USING (key) LEFT JOIN {_lp_sql('nx', 'key, ci')} n ON n.key = x.key AND n.ci = x.ci)"""
+
+
+@sql(_with_contexts(24000, _LONG_PARTS) + f", {_RING_SQL.strip()}, a AS (SELECT key, context, {_ACTION_SQL} AS action, real_thinking_summary AS own, other FROM v_anchor JOIN r USING (sid) JOIN ctx USING (sid, msg_idx))" + _suff_sql({"own": "own", "other": "other"}) + """,
+pair AS (SELECT key, max(suff) FILTER (ci = 0) AS own, max(suff) FILTER (ci = 1) AS other FROM s GROUP BY key)
+SELECT count(*) AS n, round(median(own), 6) AS median_own, round(median(other), 6) AS median_other, round(avg(CASE WHEN own IS NOT NULL AND other IS NOT NULL THEN (own > other)::INT::DOUBLE END), 6) AS win_rate FROM pair""")
 def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
     """Sufficiency of each anchor's own reasoning against another session's, by the stand-in."""
     a = scoring.mismatched(anchors(_given(spark, d))).join(_contexts(spark, d, 24000, call_cap=600, result_cap=1200), ["sid", "msg_idx"])
@@ -599,10 +726,18 @@ def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
     long = a.select("key", "context", action, F.posexplode(F.array("real_thinking_summary", "other")).alias("cand_idx", "r")).filter("r IS NOT NULL")
     s = scoring.score_rationales(long, scoring.stand_in())
     pair = s.groupBy("key").agg(F.max(F.when(F.col("cand_idx") == 0, F.col("s_suff"))).alias("own"), F.max(F.when(F.col("cand_idx") == 1, F.col("s_suff"))).alias("other"))
-    return pair.agg(F.count("*").alias("n"), F.round(F.median("own"), 6).alias("median_own"), F.round(F.median("other"), 6).alias("median_other"), stats.win_rate(F.col("own"), F.col("other")).alias("win_rate"))
+    return pair.agg(F.count("*").alias("n"), stats.win_rate(F.col("own"), F.col("other")).alias("win_rate")).join(stats.medians(pair, ["own", "other"]))  # one row with one row
 
 
-@query
+_LAST_SQL = "l AS (SELECT sid, arg_max(key, msg_idx * 100000 + block_idx) AS last_key, arg_max(real_thinking_summary, msg_idx * 100000 + block_idx) AS future FROM v_anchor GROUP BY sid), fut AS (SELECT key, future FROM v_anchor JOIN l USING (sid) WHERE key <> last_key)"
+_DRAWN_SQL = ORACLE["random_control"][ORACLE["random_control"].index("a AS (SELECT sid, key, real_thinking_summary AS t") :].replace("a AS (SELECT sid, key", "an AS (SELECT sid, key", 1).replace("SELECT DISTINCT sid, m FROM a)", "SELECT DISTINCT sid, m FROM an)").replace("s AS (SELECT sid, m, md5", "se AS (SELECT sid, m, md5", 1).replace("FROM s)", "FROM se)", 1)
+_DRAWN_SQL = _DRAWN_SQL[: _DRAWN_SQL.index("SELECT a.key, l.t AS other")] + ", dr AS (SELECT x.key, y.t AS other FROM an x JOIN r USING (sid) LEFT JOIN se ON se.sid = lender AND lender <> x.sid LEFT JOIN an y ON y.sid = se.sid AND y.place = CAST('0x' || substr(md5(x.key), 1, 7) AS BIGINT) % se.m)"
+_RATES_SQL = ", ".join(f"round(avg((s{i} >= 3)::INT::DOUBLE), 6) AS pass_{n}" for i, n in enumerate(("own", "future", "random"))) + ", " + ", ".join(f"round(avg((n0 > n{i})::INT::DOUBLE), 6) AS nat_wins_{n}" for i, n in ((1, "future"), (2, "random")))
+
+
+@sql(_with_contexts(12000) + f", {_LAST_SQL}, {_DRAWN_SQL}, a AS (SELECT key, context, {_ACTION_SQL} AS action, real_thinking_summary AS own, future, other FROM v_anchor JOIN ctx USING (sid, msg_idx) JOIN fut USING (key) JOIN dr USING (key))" + _suff_sql({n: n for n in ("own", "future", "other")}) + f""",
+wide AS (SELECT key, max(base) AS base, {', '.join(f'max(suff) FILTER (ci = {i}) AS s{i}, max(nat) FILTER (ci = {i}) AS n{i}' for i in range(3))} FROM s GROUP BY key)
+SELECT count(*) AS n, {_RATES_SQL}, {', '.join(f'round(quantile_cont(base, {q / 100}), 6) AS base_q{q}' for q in (25, 50, 75))} FROM wide""")
 def dual_calibration(spark: SparkSession, d: str) -> DataFrame:
     a = anchors(_given(spark, d)).join(_contexts(spark, d, 12000), ["sid", "msg_idx"])
     return scoring.dual_calibration(a.withColumn("action", context.action_text(F.col("action_name"), F.col("action_input"))), scoring.stand_in())
@@ -654,22 +789,36 @@ def cost_projection(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.cost(rows, "i", "o")
 
 
-@sql("""
+# What a text would state: claim, number as written, tolerance and whether it is relative. Fixed values.
+CLAIMS = [("positions", "1.4k", 0.05, True), ("anchored percent", "22%", 0.05, False), ("candidate keys", "300", 0.0, True), ("sessions", "1.2k", 0.01, True)]
+_CLAIMS_SQL = ", ".join(f"('{c}', '{t}', {tol}, {str(rel).lower()})" for c, t, tol, rel in CLAIMS)
+
+
+@sql(f"""
 WITH m AS (SELECT 'positions' AS claim, count(*)::DOUBLE AS value FROM v_pos UNION ALL SELECT 'anchored percent', 100 * avg(has_real_thinking::INT::DOUBLE) FROM v_pos UNION ALL SELECT 'candidate keys', count(*)::DOUBLE FROM v_cand),
-c AS (SELECT claim, CASE claim WHEN 'positions' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '22%' END AS stated FROM m WHERE claim <> 'candidate keys' UNION ALL SELECT 'sessions', '1.2k'),
-n AS (SELECT c.claim, stated, CASE WHEN stated LIKE '%k' THEN 1200.0 ELSE CAST(replace(stated, '%', '') AS DOUBLE) END AS number, value FROM c LEFT JOIN m USING (claim))
-SELECT claim, stated, number::DOUBLE AS number, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'missing' WHEN abs(number - value) <= CASE WHEN claim = 'positions' THEN 0 ELSE 0.01 * abs(number) END THEN 'ok' ELSE 'differs' END AS verdict FROM n""")
+c AS (SELECT * FROM (VALUES {_CLAIMS_SQL}) AS t(claim, stated, tol, rel)),
+n AS (SELECT c.claim, stated, tol, rel, CASE WHEN stated LIKE '%k' THEN 1000 ELSE 1 END * CAST(regexp_replace(stated, '[%k]', '') AS DOUBLE) AS number, value FROM c LEFT JOIN m USING (claim))
+SELECT claim, stated, number, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'missing' WHEN abs(number - value) <= CASE WHEN NOT regexp_matches(stated, '[%k]') THEN 0 WHEN rel THEN tol * abs(number) ELSE tol END THEN 'ok' ELSE 'differs' END AS verdict FROM n""")
 def claims_tolerance(spark: SparkSession, d: str) -> DataFrame:
     given = _given(spark, d)
-    measured = given.agg(F.count("*").cast("double").alias("positions"), (100 * F.avg(F.col("has_real_thinking").cast("double"))).alias("share"))
-    pair = lambda c, v: F.struct(F.lit(c).alias("claim"), v.alias("value"))
-    metrics = measured.select(F.explode(F.array(pair("positions", F.col("positions")), pair("anchored percent", F.col("share")))).alias("m")).select("m.*")
-    stated = F.when(F.col("claim") == "positions", F.col("value").cast("long").cast("string")).otherwise("22%")
-    claims = metrics.select("claim", stated.alias("stated")).unionByName(measured.select(F.lit("sessions").alias("claim"), F.lit("1.2k").alias("stated"))).withColumn("tolerance", F.lit(0.01))
+    share = given.agg(F.count("*").cast("double").alias("positions"), (100 * F.avg(F.col("has_real_thinking").cast("double"))).alias("anchored percent"))
+    metrics = share.unpivot([], ["positions", "anchored percent"], "claim", "value").unionByName(_candidates(spark, d).agg(F.count("*").cast("double").alias("value")).select(F.lit("candidate keys").alias("claim"), "value"))
+    claims = spark.createDataFrame(CLAIMS, "claim string, stated string, tolerance double, relative boolean")
     return audit.verify_claims(claims, metrics)
 
 
-@query
+@sql("SELECT action_name, format('{:,}', count(*)) AS n_stated, printf('%+.1f', count(*) - 100.5) AS beyond_100 FROM v_pos GROUP BY action_name")
+def stated_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as a text states them: with thousands separators, and as a signed difference."""
+    n = _given(spark, d).groupBy("action_name").agg(F.count("*").alias("n"))
+    return n.select("action_name", thousands(F.col("n")).alias("n_stated"), signed(F.col("n") - F.lit(100.5), 1).alias("beyond_100"))
+
+
+_LINES_SQL = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
+
+
+@sql(f"""WITH c AS (SELECT doc_id, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM ({_LINES_SQL}) WHERE starts_with(ltrim(line), '|'))
+SELECT doc_id, line_no, c[1] AS claim, c[2] AS description, regexp_extract(coalesce(c[3], ''), '`([^`]+)`', 1) AS source FROM c WHERE regexp_matches(c[1], '[0-9]')""")
 def markdown_table_rows(spark: SparkSession, d: str) -> DataFrame:
     return audit.table_rows(table(spark, d, "documents"), "doc_id", "text")
 
@@ -679,7 +828,8 @@ def code_line_counts(spark: SparkSession, d: str) -> DataFrame:
     return audit.code_lines(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_code_lines"))
 
 
-@query
+@sql(f"""WITH l AS ({_LINES_SQL} WHERE lower(trim(source)) = 'code_file')
+SELECT * FROM (SELECT doc_id, line_no, unnest(list_filter(regexp_extract_all(line, '[0-9A-Za-z_.]+'), lambda x: regexp_full_match(x, '[0-9]+\\.?[0-9]*'))) AS number FROM l WHERE NOT regexp_matches(line, '^\\s*(?:#|%|//)') AND trim(line) <> '') WHERE number NOT IN ('0', '1', '2')""")
 def number_literals(spark: SparkSession, d: str) -> DataFrame:
     code = table(spark, d, "documents").filter("lower(trim(source)) = 'code_file'")
     return audit.number_literals(code, "doc_id", "text", ["0", "1", "2"])
