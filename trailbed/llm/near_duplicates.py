@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from trailbed.llm.codes import U32, U64, gram_hashes, lay, mix64, slices
 from trailbed.llm.hot import hot_keys
-from trailbed.session import materialize, spread
+from trailbed.session import discard, materialize, spread
 
 GRAM = 9
 
@@ -95,9 +95,10 @@ def pairs_within(df: DataFrame, key: str, item: str, block: int = 1000) -> DataF
     rows come together to be counted. Nulls in either column give no pair.
     """
     rows = df.select(F.col(key).alias("k"), F.col(item).alias("x")).dropna()
-    hot = F.broadcast(hot_keys(rows))  # at most 10,000 keys
+    # Both are written once, as the join below reads them four times.
+    hot = F.broadcast(materialize(hot_keys(rows), "hot"))  # at most 10,000 keys
     heavy = rows.join(hot, "k", "left_semi")
-    sizes = F.broadcast(heavy.groupBy("k").agg(F.count("*").alias("n")))  # as many rows as hot keys
+    sizes = F.broadcast(materialize(heavy.groupBy("k").agg(F.count("*").alias("n")), "hot-sizes"))  # as many rows as hot keys
     light = rows.join(hot, "k", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("k")))
     counted = (
         light.unionByName(heavy.join(sizes, "k"))
@@ -243,7 +244,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # Small star: each node's lesser neighbours and itself point to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = materialize(small, f"cc-{k}")
+        edges, old = materialize(small, f"cc-{k}"), edges
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
