@@ -142,3 +142,19 @@ def fill_report(packed: DataFrame, specs: DataFrame, linear: float = 1.0, quadra
         F.round(1 - F.sum("tokens") / (F.count("*") * F.col("capacity")), 6).alias("unused"),
         F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cost_spread"),
     )
+
+
+def packing_faults(counts: DataFrame, specs: DataFrame, packed: DataFrame, most_unused: float = 0.02) -> DataFrame:
+    """Per spec what must be none: documents whose tokens are not placed exactly once, containers over capacity, documents split though they fit; and whether at most ``most_unused`` of the space is left over."""
+    specs = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity").cast("int").alias("capacity")).filter("capacity > 0").distinct()
+    per_doc = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"), F.count_distinct("first_token").alias("starts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"))
+    wanted = counts.filter("n_tokens > 0").select("doc_id", "n_tokens").crossJoin(F.broadcast(specs))  # a handful of specs
+    n = F.col("n_tokens")
+    right = (F.col("placed") == n) & (F.col("starts") == F.col("pieces")) & (F.col("last") == n)
+    docs = wanted.join(per_doc, ["spec_id", "doc_id"], "full").groupBy("spec_id").agg(
+        F.count_if(~F.coalesce(right, F.lit(False))).alias("misplaced"), F.count_if((n <= F.col("capacity")) & (F.col("pieces") > 1)).alias("split_in_vain")
+    )
+    boxes = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(specs), "spec_id").groupBy("spec_id").agg(
+        F.count_if(F.col("tokens") > F.col("capacity")).alias("over_capacity"), (1 - F.sum("tokens") / F.sum("capacity") <= most_unused).alias("well_filled")
+    )
+    return docs.join(boxes, "spec_id").select("spec_id", "misplaced", "over_capacity", "split_in_vain", "well_filled")

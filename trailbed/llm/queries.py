@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trailbed.llm.credentials import find_secrets, redact_secrets
 from trailbed.llm.eval_leaks import leak_report
 from trailbed.llm.near_duplicates import NearDuplicates, record_text
-from trailbed.llm.packing import fill_report, pack, token_counts
+from trailbed.llm.packing import fill_report, pack, packing_faults, token_counts
 from trailbed.llm.personal import find_personal, given_names, redact_personal, texts_of, train
 from trailbed.llm.shared_spans import shared_shares, shared_spans
 from trailbed.session import table
@@ -79,6 +79,16 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p5_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+@query
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per spec: tokens and documents not placed exactly once, containers over capacity, documents split without need, and whether at most 2 % is unused."""
+    counts, specs = token_counts(table(spark, d, "documents")), table(spark, d, "pack_specs")
+    return packing_faults(counts, specs, p5_containers(spark, d))
+
+
+ORACLE["p5_invariants"] = "SELECT DISTINCT CAST(spec_id AS INT) AS spec_id, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS split_in_vain, true AS well_filled FROM pack_specs"
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -109,6 +119,19 @@ r AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM s)),
 g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 320 THEN 0 ELSE 1 END AS n FROM r)),
 runs AS (SELECT doc_id, min(p) AS span_start, max(p) + 320 AS span_end FROM g GROUP BY doc_id, run)
 """
+# Folding as far as SQL has it: canonical composition, full-width signs and case; other compatibility forms stand in no given table.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+
+
+def _folded(c: str) -> str:
+    return f"regexp_replace(lower(translate(nfc_normalize({c}), '{_WIDE[0]}', '{_WIDE[1]}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+ORACLE["p6_found"] = f"""
+WITH d AS (SELECT doc_id, {_folded('text')} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_folded('passage')} AS t FROM eval_items WHERE passage IS NOT NULL),
+w AS (SELECT DISTINCT item_id, hash(substr(t, p, 50)) AS h FROM (SELECT item_id, t, unnest(range(1, length(t) - 48)) AS p FROM i)),
+x AS (SELECT doc_id, hash(substr(t, p, 50)) AS h FROM (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS p FROM d))
+SELECT DISTINCT doc_id, item_id FROM x JOIN w USING (h)"""
 ORACLE["p7_found"] = SPANS_SQL + "SELECT doc_id, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end FROM runs"
 ORACLE["p7_shares"] = SPANS_SQL + """, x AS (SELECT doc_id, count(*) AS n, CAST(sum(span_end - span_start) AS BIGINT) AS shared FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS n_spans, coalesce(shared, 0) AS shared_chars, round(coalesce(shared / length(text), 0.0), 6) AS shared_share FROM documents d LEFT JOIN x USING (doc_id)"""
