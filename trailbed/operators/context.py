@@ -52,23 +52,18 @@ def contexts(parts: DataFrame, at: DataFrame, max_chars: int = 9000, stride: int
         "session_id", "k", "start", F.left(piece, (F.least(F.col("start") + F.col("size"), (F.col("k") + 1) * n) - F.greatest("start", F.col("k") * n)).cast("int")).alias("piece")
     )
     pieces = cut.groupBy("session_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    # Where each wanted message ends: all earlier parts of its block, or all earlier blocks.
-    ends = (
-        placed.groupBy("session_id", "far", "msg_idx").agg(F.sum("size").alias("own"), F.first("block_start").alias("block_start"))
-        .unionByName(at.select("session_id", "msg_idx", F.floor(F.col("msg_idx") / stride).alias("far")).distinct().withColumns({"own": F.lit(0).cast("long"), "block_start": F.lit(None).cast("long")}))
-        .groupBy("session_id", "far", "msg_idx").agg(F.sum("own").alias("own"), F.max("block_start").alias("block_start"))
-    )
+    # Where each wanted message ends: all earlier parts of its block, or all earlier blocks. Only sizes are needed for this.
+    none = F.lit(0).cast("long")
+    spots = materialize(at.select("session_id", "msg_idx").distinct().withColumn("far", F.floor(F.col("msg_idx") / stride)), "spots")
+    own = sized.groupBy("session_id", "far", "msg_idx").agg(F.sum("size").alias("own"), F.lit(False).alias("wanted"))
+    both = own.unionByName(spots.select("session_id", "far", "msg_idx", none.alias("own"), F.lit(True).alias("wanted")))
+    ends = both.groupBy("session_id", "far", "msg_idx").agg(F.sum("own").alias("own"), F.max("wanted").alias("wanted"))
     upto = Window.partitionBy("session_id", "far").orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("inner", F.coalesce(F.sum("own").over(upto), F.lit(0))).drop("block_start")
-    marks = at.select("session_id", F.floor(F.col("msg_idx") / stride).alias("far")).distinct().withColumn("block_size", F.lit(0).cast("long"))
-    levels = blocks.select("session_id", "far", "block_size").unionByName(marks).groupBy("session_id", "far").agg(F.sum("block_size").alias("block_size"))
+    ends = ends.withColumn("inner", F.coalesce(F.sum("own").over(upto), F.lit(0))).filter("wanted")
+    sums = own.groupBy("session_id", "far").agg(F.sum("own").alias("block_size"))
+    levels = sums.unionByName(spots.select("session_id", "far", none.alias("block_size")).distinct()).groupBy("session_id", "far").agg(F.sum("block_size").alias("block_size"))
     levels = levels.select("session_id", "far", F.coalesce(before, F.lit(0)).alias("block_start"))
-    wanted = (
-        at.select("session_id", "msg_idx").distinct()
-        .join(ends.select("session_id", "far", "msg_idx", "inner"), ["session_id", "msg_idx"])
-        .join(levels, ["session_id", "far"])
-        .select("session_id", "msg_idx", (F.col("block_start") + F.col("inner")).alias("end"))
-    )
+    wanted = ends.join(levels, ["session_id", "far"]).select("session_id", "msg_idx", (F.col("block_start") + F.col("inner")).alias("end"))
     # Each piece with the one before it; a context lies within the two. Only pieces are shuffled, contexts come out of the last join.
     pairs = pieces.join(pieces.select("session_id", (F.col("k") + 1).alias("k"), F.col("text").alias("prev")), ["session_id", "k"], "left")
     found = wanted.withColumn("k", F.floor((F.col("end") - 1) / n)).join(pairs, ["session_id", "k"], "left")

@@ -137,7 +137,7 @@ def dual_calibration(anchors: DataFrame, scorer: Scorer, threshold: float = 3.0)
     names = ("own", "future", "random")
     wide = s.groupBy("key").agg(F.max("base").alias("base"), *[of(c, i).alias(f"{k}_{n}") for i, n in enumerate(names) for c, k in (("s_suff", "suff"), ("s_nat", "nat"))])
     rate = lambda c: F.round(F.avg((F.col(c) >= threshold).cast("double")), 6)
-    wins = lambda n: F.round(F.avg((F.col("nat_own") > F.col(f"nat_{n}")).cast("double")), 6)
+    wins = lambda n: F.round(F.avg((F.round("nat_own", 9) > F.round(f"nat_{n}", 9)).cast("double")), 6)
     return wide.agg(
         F.count("*").alias("n"), *[rate(f"suff_{n}").alias(f"pass_{n}") for n in names], wins("future").alias("nat_wins_future"), wins("random").alias("nat_wins_random"),
         *[F.round(F.percentile("base", q), 6).alias(f"base_q{int(100 * q)}") for q in (0.25, 0.5, 0.75)],

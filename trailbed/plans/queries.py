@@ -732,7 +732,7 @@ def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
 _LAST_SQL = "l AS (SELECT sid, arg_max(key, msg_idx * 100000 + block_idx) AS last_key, arg_max(real_thinking_summary, msg_idx * 100000 + block_idx) AS future FROM v_anchor GROUP BY sid), fut AS (SELECT key, future FROM v_anchor JOIN l USING (sid) WHERE key <> last_key)"
 _DRAWN_SQL = ORACLE["random_control"][ORACLE["random_control"].index("a AS (SELECT sid, key, real_thinking_summary AS t") :].replace("a AS (SELECT sid, key", "an AS (SELECT sid, key", 1).replace("SELECT DISTINCT sid, m FROM a)", "SELECT DISTINCT sid, m FROM an)").replace("s AS (SELECT sid, m, md5", "se AS (SELECT sid, m, md5", 1).replace("FROM s)", "FROM se)", 1)
 _DRAWN_SQL = _DRAWN_SQL[: _DRAWN_SQL.index("SELECT a.key, l.t AS other")] + ", dr AS (SELECT x.key, y.t AS other FROM an x JOIN r USING (sid) LEFT JOIN se ON se.sid = lender AND lender <> x.sid LEFT JOIN an y ON y.sid = se.sid AND y.place = CAST('0x' || substr(md5(x.key), 1, 7) AS BIGINT) % se.m)"
-_RATES_SQL = ", ".join(f"round(avg((s{i} >= 3)::INT::DOUBLE), 6) AS pass_{n}" for i, n in enumerate(("own", "future", "random"))) + ", " + ", ".join(f"round(avg((n0 > n{i})::INT::DOUBLE), 6) AS nat_wins_{n}" for i, n in ((1, "future"), (2, "random")))
+_RATES_SQL = ", ".join(f"round(avg((s{i} >= 3)::INT::DOUBLE), 6) AS pass_{n}" for i, n in enumerate(("own", "future", "random"))) + ", " + ", ".join(f"round(avg((round(n0, 9) > round(n{i}, 9))::INT::DOUBLE), 6) AS nat_wins_{n}" for i, n in ((1, "future"), (2, "random")))
 
 
 @sql(_with_contexts(12000) + f", {_LAST_SQL}, {_DRAWN_SQL}, a AS (SELECT key, context, {_ACTION_SQL} AS action, real_thinking_summary AS own, future, other FROM v_anchor JOIN ctx USING (sid, msg_idx) JOIN fut USING (key) JOIN dr USING (key))" + _suff_sql({n: n for n in ("own", "future", "other")}) + f""",
