@@ -1,4 +1,4 @@
-"""Texts written by hand for measuring problem 2, after the training templates and without looking at them or at any table."""
+"""Texts written by hand for measuring problem 2: by the author of the training templates, but with none of their phrases and no sentence of a table."""
 
 TEXTS = [
     ("Morning all, Aleksandr Volkov is out sick, so Priya Raman covers the rota.", [("person", "Aleksandr Volkov"), ("person", "Priya Raman")]),
