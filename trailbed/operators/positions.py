@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trailbed.functions.text import is_blank, position_key
 
@@ -11,11 +12,11 @@ from trailbed.functions.text import is_blank, position_key
 def latest_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks without repeated deliveries: of each (session_id, msg_idx, block_idx) the row with the greatest block_id.
 
-    A hash aggregation on the whole key, so one runaway session is spread over many tasks.
+    Ranked within the whole key, so one runaway session is spread over many tasks; each task drops lower rows before the shuffle.
     """
+    newest = Window.partitionBy("session_id", "msg_idx", "block_idx").orderBy(F.desc("block_id"))
     rest = [c for c in blocks.columns if c not in ("session_id", "msg_idx", "block_idx")]
-    last = blocks.groupBy("session_id", "msg_idx", "block_idx").agg(F.max_by(F.struct(*rest), "block_id").alias("r"))
-    return last.select("session_id", "msg_idx", "block_idx", "r.*")
+    return blocks.withColumn("rank", F.row_number().over(newest)).filter("rank = 1").select("session_id", "msg_idx", "block_idx", *rest)
 
 
 def positions(blocks: DataFrame, input_cap: int = 1500, summary_cap: int = 2000) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailbed.operators.cohort import md5_number, seeded_order
+from trailbed.operators.stats import quartiles
 from trailbed.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -135,10 +136,11 @@ def dual_calibration(anchors: DataFrame, scorer: Scorer, threshold: float = 3.0)
     s = score_rationales(long, scorer)
     of = lambda c, i: F.max(F.when(F.col("cand_idx") == i, F.col(c)))
     names = ("own", "future", "random")
-    wide = s.groupBy("key").agg(F.max("base").alias("base"), *[of(c, i).alias(f"{k}_{n}") for i, n in enumerate(names) for c, k in (("s_suff", "suff"), ("s_nat", "nat"))])
+    wide = materialize(s.groupBy("key").agg(F.max("base").alias("base"), *[of(c, i).alias(f"{k}_{n}") for i, n in enumerate(names) for c, k in (("s_suff", "suff"), ("s_nat", "nat"))]), "controls")
     rate = lambda c: F.round(F.avg((F.col(c) >= threshold).cast("double")), 6)
     wins = lambda n: F.round(F.avg((F.round("nat_own", 9) > F.round(f"nat_{n}", 9)).cast("double")), 6)
-    return wide.agg(
+    rates = wide.agg(
         F.count("*").alias("n"), *[rate(f"suff_{n}").alias(f"pass_{n}") for n in names], wins("future").alias("nat_wins_future"), wins("random").alias("nat_wins_random"),
-        *[F.round(F.percentile("base", q), 6).alias(f"base_q{int(100 * q)}") for q in (0.25, 0.5, 0.75)],
     )
+    quarters = quartiles(wide, "base").toDF(*[f"base_q{q}" for q in (25, 50, 75)])
+    return rates.join(quarters)  # one row with one row

@@ -61,6 +61,16 @@ def index_quantiles(df: DataFrame, column: str, at: Sequence[float] = (0.1, 0.25
     return got.select("q", F.round("value", 6).alias("value"))
 
 
+def quartiles(df: DataFrame, column: str) -> DataFrame:
+    """One row with q25, q50 and q75 of the non-null values, linear between neighbours; null where there is no value."""
+    at = (0.25, 0.5, 0.75)
+    place = lambda n, q: (n - 1) * F.lit(q)
+    ends = lambda n: [(F.struct(F.lit(q).alias("q"), F.lit(i).alias("side"), (place(n, q) - F.floor(place(n, q))).alias("part")), (F.floor, F.ceil)[i](place(n, q))) for q in at for i in (0, 1)]
+    got = at_ranks(counted(df, column, F.lit(0)), ends).select("q.*", "value")
+    share = F.when(F.col("side") == 1, F.col("part")).otherwise(1 - F.col("part"))
+    return got.agg(*[F.round(F.sum(F.when(F.col("q") == q, share * F.col("value"))), 6).alias(f"q{int(100 * q)}") for q in at])
+
+
 def running_medians(df: DataFrame, order: str, column: str, points: int = 10) -> DataFrame:
     """(point, n, median): the median of the first n of all rows by a unique ``order``, at ``points`` evenly spaced places, nulls of the column left out.
 

@@ -14,7 +14,7 @@ from trailbed.operators import entities as names
 from trailbed.operators.candidates import latest_candidates, long_candidates, long_scores
 from trailbed.operators.flatten import BLOCKS, INPUT, MESSAGES, PARTS, TABLES, TOOLS, found_rows, session_groups, session_tables
 from trailbed.operators.positions import anchor_share, anchors, distinct_positions, latest_blocks, messages, positions
-from trailbed.session import table
+from trailbed.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -725,7 +725,7 @@ def ruler_validation(spark: SparkSession, d: str) -> DataFrame:
     action = context.action_text(F.col("action_name"), F.col("action_input")).alias("action")
     long = a.select("key", "context", action, F.posexplode(F.array("real_thinking_summary", "other")).alias("cand_idx", "r")).filter("r IS NOT NULL")
     s = scoring.score_rationales(long, scoring.stand_in())
-    pair = s.groupBy("key").agg(F.max(F.when(F.col("cand_idx") == 0, F.col("s_suff"))).alias("own"), F.max(F.when(F.col("cand_idx") == 1, F.col("s_suff"))).alias("other"))
+    pair = materialize(s.groupBy("key").agg(F.max(F.when(F.col("cand_idx") == 0, F.col("s_suff"))).alias("own"), F.max(F.when(F.col("cand_idx") == 1, F.col("s_suff"))).alias("other")), "ruler")
     return pair.agg(F.count("*").alias("n"), stats.win_rate(F.col("own"), F.col("other")).alias("win_rate")).join(stats.medians(pair, ["own", "other"]))  # one row with one row
 
 
