@@ -1,10 +1,12 @@
 import re
+import time
 
+import numpy as np
 import pytest
 from held_out import TEXTS
 
-from trailbed.llm.personal import KINDS, common_words, find_personal, given_names, judge, redact_personal, texts_of, train, wordy_names
-from trailbed.llm.pii_candidates import N_FEATURES, candidates, features
+from trailbed.llm.personal import KINDS, common_words, find_personal, given_names, judge, redact_personal, select, texts_of, train, wordy_names
+from trailbed.llm.pii_candidates import N_FEATURES, Span, candidates, features
 from trailbed.llm.pii_training import DECOYS, Maker
 from trailbed.llm.pii_training import TEXTS as TEMPLATES
 
@@ -99,6 +101,20 @@ def test_tables(spark, model):
     assert find_personal(texts.limit(0), model).isEmpty()
 
 
+def test_long_texts(model):
+    """Very long lines, runs of capitals and of digits end in bounded time and memory, and what stands in them is still found."""
+    for filler in ("z" * 200_000, "ALPHA BETA " * 3_000, "12 " * 20_000, "a@b " * 20_000, "数据" * 50_000, "1234 5678 " * 3_000):
+        text = filler + "\nplease cc rose.a@mail.host.example today\n" + filler
+        began = time.perf_counter()
+        assert ("email", "rose.a@mail.host.example") in marks(text, model), filler[:10]
+        assert time.perf_counter() - began < 60, filler[:10]
+
+
+def test_chosen_spans_do_not_overlap():
+    spans = [Span(0, 0, 5, 0), Span(0, 3, 8, 0), Span(0, 8, 9, 0), Span(1, 0, 9, 0), Span(0, 5, 7, 0)]
+    assert [(s.begin, s.end) for s, _ in select(spans, np.array([0.9, 0.8, 0.7, 0.6, 0.5]), [0.4, 0.4, 0.4, 0.4, 0.4])] == [(0, 5), (5, 7), (8, 9)]
+
+
 def test_long_name_list_is_refused(spark):
     with pytest.raises(ValueError):
         given_names(spark.createDataFrame([("a",), ("b",)], "given_name string"), most=1)

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import base64
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,24 +130,31 @@ def train(spark: SparkSession, given: frozenset[str], n_rows: int = 12_000, tree
 
 def select(spans: list[Span], chance: np.ndarray, threshold: list[float]) -> list[tuple[Span, float]]:
     """Spans above their kind's threshold, best first, longer first among equals, without overlaps; in order of place."""
-    out: list[tuple[Span, float]] = []
-    order = sorted(range(len(spans)), key=lambda i: (-round(float(chance[i]), 3), spans[i].begin - spans[i].end, spans[i].begin))
-    for i in order:
+    good = [i for i, s in enumerate(spans) if chance[i] >= threshold[s.kind]]
+    good.sort(key=lambda i: (-round(float(chance[i]), 3), spans[i].begin - spans[i].end, spans[i].begin))
+    begins: list[int] = []
+    chosen: list[tuple[Span, float]] = []  # in order of place, as ``begins``
+    for i in good:
         s = spans[i]
-        if chance[i] >= threshold[s.kind] and all(s.end <= t.begin or t.end <= s.begin for t, _ in out):
-            out.append((s, float(chance[i])))
-    return sorted(out, key=lambda x: x[0].begin)
+        k = bisect_left(begins, s.begin)
+        if (k == 0 or chosen[k - 1][0].end <= s.begin) and (k == len(begins) or s.end <= begins[k]):
+            begins.insert(k, s.begin)
+            chosen.insert(k, (s, float(chance[i])))
+    return chosen
 
 
-def judge(texts: list[str | None], model: Model) -> list[list[tuple[Span, float]]]:
-    """The chosen spans of each text."""
+def judge(texts: list[str | None], model: Model, at_once: int = 20_000) -> list[list[tuple[Span, float]]]:
+    """The chosen spans of each text; features are made and judged for ``at_once`` candidates at a time, so a long text takes no more memory."""
     spans = [candidates(t) if t else [] for t in texts]
-    kinds = np.array([s.kind for own in spans for s in own], dtype=np.int64)
-    x = np.array([features(t, s, model.lexicon) for t, own in zip(texts, spans, strict=True) for s in own], dtype=np.float64).reshape(-1, N_FEATURES)
-    p = np.zeros(len(kinds))
-    for k, own in enumerate(model.judges):
-        on = np.flatnonzero(kinds == k)
-        p[on] = own.chance(x[on])
+    flat = [(t, s) for t, own in zip(texts, spans, strict=True) for s in own]
+    p = np.zeros(len(flat))
+    for lo in range(0, len(flat), at_once):
+        part = flat[lo : lo + at_once]
+        x = np.array([features(t, s, model.lexicon) for t, s in part], dtype=np.float64).reshape(-1, N_FEATURES)
+        kinds = np.array([s.kind for _, s in part])
+        for k, own in enumerate(model.judges):
+            on = np.flatnonzero(kinds == k)
+            p[lo + on] = own.chance(x[on])
     threshold = [j.threshold for j in model.judges]
     out, at = [], 0
     for own in spans:
@@ -158,7 +167,8 @@ FOUND = "tab string, row_id long, kind string, begin int, end int, chance double
 REDACTED = "tab string, row_id long, text string, n_items int"
 
 
-def _rows(batches: Iterator[pd.DataFrame], model: Model, redact: bool) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pd.DataFrame], sent: Broadcast, redact: bool) -> Iterator[pd.DataFrame]:
+    model = sent.value
     names = ["tab", "row_id", "text", "n_items"] if redact else ["tab", "row_id", "kind", "begin", "end", "chance", "val"]
     for whole in batches:
         for lo in range(0, len(whole), 2000):
@@ -185,9 +195,11 @@ def texts_of(blocks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def find_personal(texts: DataFrame, model: Model) -> DataFrame:
     """One row per item found in (tab, row_id, text); see FOUND. Null, empty and blank texts give none; repeated rows each give theirs."""
-    return spread(texts.select("tab", "row_id", "text").filter("text IS NOT NULL AND text <> ''")).mapInPandas(lambda it: _rows(it, model, False), FOUND)
+    sent = texts.sparkSession.sparkContext.broadcast(model)  # trees, and word lists of bounded size
+    return spread(texts.select("tab", "row_id", "text").filter("text IS NOT NULL AND text <> ''")).mapInPandas(lambda it: _rows(it, sent, False), FOUND)
 
 
 def redact_personal(texts: DataFrame, model: Model) -> DataFrame:
     """Every row with its items replaced by [KIND] and all else as it was; null stays null. Columns: see REDACTED."""
-    return spread(texts.select("tab", "row_id", "text")).mapInPandas(lambda it: _rows(it, model, True), REDACTED)
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    return spread(texts.select("tab", "row_id", "text")).mapInPandas(lambda it: _rows(it, sent, True), REDACTED)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 KINDS = ("email", "phone", "idnum", "address", "person")
@@ -103,7 +104,7 @@ SURNAMES = frozenset(
     "谭贡劳逄姬申扶堵冉宰郦雍郤璩桑桂濮牛寿通边扈燕冀郏浦尚农温别庄晏柴瞿阎充慕连茹习宦艾鱼容向古易慎戈廖庾终暨居衡步都耿满弘匡国文寇广禄阙东欧利蔚越夔隆师巩厍聂晁勾敖融冷訾辛阚简饶空曾沙乜养鞠须丰巢关蒯相查后荆红游竺权逯盖益桓公岳帅缑亢况商牟佘佴墨哈谯笪年爱阳佟言福"
 )
 # Signs after which a name may begin within a Chinese sentence, and signs that may follow one. Fixed values.
-CJK_BEFORE = frozenset("系人是叫名者找问给由和与及向请跟让被为替同见谢户友")
+CJK_BEFORE = frozenset("系人是叫名者找问给由和与及向请跟让被替同见谢户友")
 CJK_ROLES = "联系 联系人 收件人 寄件人 收货人 负责人 申请人 经办人 主人 客人 户主 用户 客户 作者 姓名 名字 大名 经理 主管 同事 老师 先生 女士 医生 律师 师傅 麻烦 感谢 谢谢 询问 拜托 请问 有请 烦请 抄送 转告 名叫".split()
 CJK_AFTER = frozenset("的说在处负来看给和与会已要把也就是不将去反提写做告回发认先住有能可想问写加用请同修主帮很都又还没刚昨今明于从到经审批")
 CJK_CUE = re.compile(rf"(?:{'|'.join(CJK_ROLES)})(?:是|为|叫)?[：: “\"]{{0,2}}$")
@@ -187,7 +188,7 @@ _ROLE_ENDS = tuple(CJK_ROLES)
 def _cjk_opens(text: str, at: int) -> bool:
     """Whether a name may begin here: at the start of a run of Chinese signs, or after a sign or word that names follow."""
     before = text[at - 1 : at]
-    return not _cjk(before) or before in CJK_BEFORE or text.endswith(_ROLE_ENDS, 0, at)
+    return not _cjk(before) or before in CJK_BEFORE or text.endswith(_ROLE_ENDS, 0, at - (before == "为"))
 
 
 def candidates(text: str) -> list[Span]:
@@ -267,6 +268,14 @@ def _date(d: str) -> bool:
     return len(d) >= 14 and d[6:8] in ("19", "20") and "01" <= d[10:12] <= "12" and "01" <= d[12:14] <= "31"
 
 
+@lru_cache(maxsize=1 << 12)
+def _line_facts(line: str) -> tuple[float, ...]:
+    """Signs of tables, addresses and code in a line, and its length."""
+    n = max(len(line), 1)
+    return line.count("|") + line.count(";") + line.count("\t"), line.count(","), float("@" in line or "[at]" in line or "(at)" in line), (len(line) - len(_CODE_SIGNS.sub("", line))) / n, len(line), (len(line) - len(_ANY_DIGIT.sub("", line))) / n
+
+
+_CODE_SIGNS, _ANY_DIGIT = re.compile(r"[(){}\[\]=;_<>]+"), re.compile(r"\d+")
 _NONE = (17.0, 17.0)
 _BEFORE = re.compile(r"([\w'’.-]+)[ :：\"'(<]{1,3}$")
 _AFTER = re.compile(r"[ ,]{1,2}([\w'’-]+)")
@@ -301,9 +310,11 @@ def features(text: str, s: Span, lex: Lexicon) -> list[float]:
     cut = right.find("\n")
     near = right if cut < 0 else right[:cut]
     digits = DIGITS.sub("", val)
-    begin = text.rfind("\n", 0, s.begin) + 1
-    end = text.find("\n", s.end)
-    line = text[begin : end if end >= 0 else len(text)]
+    # A line of 400 signs and more is described by the 200 on either side, so no more of it is looked at.
+    far, near_end = max(0, s.begin - 400), min(len(text), s.end + 400)
+    begin = text.rfind("\n", far, s.begin) + 1 or far
+    end = text.find("\n", s.end, near_end)
+    line = text[begin : end if end >= 0 else near_end]
     line = line if len(line) < 400 else line[max(0, s.begin - begin - 200) : s.end - begin + 200]
     person, mail = s.kind == 4, s.kind == 0
     low = [t.strip(".'’").lower() for t in re.split(r"[ ,]+", val) if t.strip(".'’")]
@@ -321,9 +332,9 @@ def features(text: str, s: Span, lex: Lexicon) -> list[float]:
         *(groups[k] if k < len(groups) else 0 for k in range(4)), groups[-1] if groups else 0, len(groups), float(len(set(groups)) == 1),
         float(s.kind == 2 and _date(digits)), float(val[-1:].isalpha()), float(bool(re.match(r"(?:19|20)\d\d[-./ ]?[01]\d[-./ ]?[0-3]\d", val))),
         _class(left[-1:]), _class(right[:1]), _class(left[-2:-1]), _class(right[1:2]),
-        float(bool(PHONE_LEFT.search(left))), float(bool(ID_LEFT.search(left))), float(bool(PLACE_LEFT.search(left))), float(bool(MAIL_LEFT.search(left))), float(bool(TECH_LEFT.search(left))),
-        float(not left.strip()), float(not near.strip()), line.count("|") + line.count(";") + line.count("\t"), line.count(","), float("@" in line or "[at]" in line or "(at)" in line),
-        sum(c in "(){}[]=;_<>" for c in line) / max(len(line), 1), len(line), sum(map(str.isdigit, line)) / max(len(line), 1),
+        # Each kind has trees of its own and looks at the labels that concern it.
+        float(s.kind in (1, 2) and bool(PHONE_LEFT.search(left))), float(s.kind in (1, 2) and bool(ID_LEFT.search(left))), float(s.kind == 3 and bool(PLACE_LEFT.search(left))), float(mail and bool(MAIL_LEFT.search(left))), float(not person and bool(TECH_LEFT.search(left))),
+        float(not left.strip()), float(not near.strip()), *_line_facts(line),
         float("." in domain or "dot" in domain.lower()), float(mail and domain.rsplit(".", 1)[-1].isalpha()), float(mail and domain.rsplit(".", 1)[-1].lower() in FILE_ENDS), float(local in COMMAND_USERS),
         float(mail and right[:1] in (":", "/") and right[1:2] not in ("", " ", "\n")), float(mail and url >= 0 and " " not in left[url:]), float(local.isdigit()),
         float(b in TITLES), float(b in ROLES or b.rsplit("_", 1)[-1] in ROLES or b.endswith("name")), float(b in REACHING), float(b in FUNCTION), float(b in INTERFACE or b in COMPUTING), float(b in lex.given), float(bool(b) and before.group(1)[0].isupper()),
