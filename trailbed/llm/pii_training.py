@@ -58,17 +58,17 @@ phone={phone}|contact_phone: {phone}|"msisdn": "{phone}"|whoever owns {email} sh
 Home address: {address}|parcel for {person}, {address}|Returns: {address}|site visit at {address} tomorrow|HQ - {address}|registered at {address}|lives at {address}|pick it up from {address}|billing_address = "{address}"|shipTo: {address}|geocode('{address}')|{person}, {address}|{address}|the map pin for {address} is wrong|we sent two boxes to {address} today|{person} ({address}) never got it
 Frag mal {person}, ob das {w} noch läuft.|Laut {person} ist das ein alter Fehler.|Ansprechpartner: {person}, Tel. {phone}|{person} hat das gestern gemeldet.|Rückruf unter {phone} erbeten|Anschrift: {address}|Paket an {person}, {address}|Herr {person} kommt aus {address}.|Mail an {email} genügt.|Bitte bei {person} melden.|Bitte {person} anrufen.|Wenn {person} kommt, geht es weiter.|Wer kennt {person}?|Cuando {person} vuelva, lo vemos.|Si {person} acepta, seguimos.|Quand {person} revient, on publie.|If {person} agrees, ship it.|When {person} is back we merge.|Because {person} left, nobody owns it.|Only {person} knows the {w}.|Maybe {person} can help|And {person} too.|Yesterday {person} found it.|While {person} is away, skip it.|Before {person} starts, {v} it.|Bitte {person} Bescheid geben.|Nummer {idnum} wird abgelehnt|Kollegin {person} übernimmt ab morgen.|Neue Anschrift: {address}
 Según {person}, el {w} ya no se usa.|Habla con {person} antes del viernes.|{person} abrió la incidencia.|Mi número es {phone}.|Domicilio: {address}|El señor {person} reside en {address}.|Manda el informe a {email}.|El documento {idnum} no pasa.|Avisa a {person} ({phone}).|Gracias, {person}|Voir avec {person} pour le {w}.|{person} a signalé la panne hier.|Joindre {person} au {phone}.|Adresse : {address}|Courriel {email}|Le numéro {idnum} est refusé.
-麻烦{person}看一下这个{w}|用户是{person}|账号属于{person}，电话 {phone}|户主叫{person}，住{address}|收货人{person}|申请人{person}，{id} {idnum}|{person}说周五前能修好。|{person}提了一个问题|{person}负责这个{w}|{person}觉得太慢了|{person}今天不在|{person}和{person}一起改的|{person}的电脑坏了|{person}已经离职|{person}发现了原因|{person}，你好|由{person}审核|昨天和{person}讨论过了|负责人：{person}，手机 {phone}|开发者{person}提交了补丁|寄件地址：{address}|我的邮箱是 {email}|证件号码 {idnum} 无法通过|会议由{person}主持|感谢{person}的帮助|让{person}回电话 {phone}|姓名：{person}|客户{person}住在{address}|问一下{person}。|找{person}要权限|抄送{person}和{person}|{person}：收到|经理{person}已经批准|手机号{phone}收不到短信|护照 {idnum} 过期|这段代码是{person}写的，有问题找{person}。|联系人是{person}。
+麻烦{person}看一下这个{w}|账号属于{person}，电话 {phone}|户主叫{person}，住{address}|收货人{person}|申请人{person}，{id} {idnum}|{person}说周五前能修好。|{person}提了一个问题|{person}负责这个{w}|{person}觉得太慢了|{person}今天不在|{person}和{person}一起改的|{person}的电脑坏了|{person}已经离职|{person}发现了原因|{person}，你好|由{person}审核|昨天和{person}讨论过了|负责人：{person}，手机 {phone}|开发者{person}提交了补丁|寄件地址：{address}|我的邮箱是 {email}|证件号码 {idnum} 无法通过|会议由{person}主持|感谢{person}的帮助|让{person}回电话 {phone}|姓名：{person}|客户{person}住在{address}|问一下{person}。|找{person}要权限|抄送{person}和{person}|{person}：收到|经理{person}已经批准|手机号{phone}收不到短信|护照 {idnum} 过期|这段代码是{person}写的，有问题找{person}。|联系人是{person}。
 Cheers,⏎{person}⏎{phone}|Regards,⏎{person}⏎{email}|Atentamente,⏎{person}⏎{phone}|Mit freundlichen Grüßen⏎{person}⏎{email}|Cordialement,⏎{person}|-- ⏎{person}⏎{address}|{person}⏎{email}⏎{phone}|{person}|{phone}|{email}|N:{person}⏎TEL:{phone}⏎ADR:{address}|TEL;VALUE=uri:{phone}|NOTE:{person}|ORG;{email}"""
 _PLAIN = """git@{site}:{w}/{w}.git|clone https://ci:{pw}@{site}/{w}.git|https://{w}:{pw}@{site}/simple|mysql://admin:{pw}@{site}:{n5}/{w}|amqp://{w}:{pw}@{site}|url = {w}://{w}:{pw}@{site}:{n4}/{w}|{W}_URL={w}://{w}:{pw}@{site}/{w}|pip install git+ssh://git@{site}/{w}/{w}|svn+ssh://{w}@{site}/{w}|yarn add @{w}/{w}@{ver}|npx {w}@latest|docker pull {site}/{w}@sha256:{hex}{hex}|hero@3x.png logo@2x.webp|{w}@{n1}x.png|icons/{w}@{n1}x.svg missing|{w}@2x.jpg, {w}@3x.jpg|./{w}@2x.gif|{w}@{w}:/var/www$ ls -la|root@{hex}:/# ps aux|user@{w}-{n} ~ % make
 rsync -a build/ deploy@{site}:/srv/{w}|ssh -i key.pem ubuntu@10.{n2}.{n2}.{n1}|scp {path} ci@{w}:/tmp|@{w}.route('/{w}')|@dataclass(frozen=True)|@Override public {W} {v}{W}()|actions/checkout@v4|contact <your-email>|tel: [hidden], mail: ***@***|"name": "{{ user.name }}"|the fields email, phone and address may be null|email_verified BOOLEAN, phone VARCHAR({n2})|call it at most {n} times|text at line {n} dot product
-Open {T}, then choose {T} and press {U}|Go to {T} > {T}|The {T} dialog shows {n} rows|{G} {o} the {w}?|{G} {O} after {n} ms|{G} {U} in {n}|{G} {O}; {G} {U} for {w}|{G} {O}?|- {G} {O}|{G} {O} on {n}|* {G} {U} {O}|Then I'd {v} it|Now I'll {v} the {w}|So I've {o} it|But I'm {o}|Here we'd {v} {W}.|{G} {O} in {U} {U}|{G} {U} to {U} {U}|{G} {O} theme, {G} {O} button|{O} {G} mode|{G} {O} after {n} tries|Click {U} in the {T} panel|{G} {O}|Rule: {G} {O} when idle|{U} {O} {U}|{T}: {n}|= {T} =|## {T}|{T}⏎======|Status: {U} {O}|{UU} {UU}|{UU} {CC} {UU}|== {CC} {UU} ==|{UU} {UU}: {n}|--- {UU} {CC} KEY ---|The {U} {O} is {o}|Use {C} {C} with {C}|{C} {C} on {C} {C}|we moved from {C} {C} to {C} {C}|{C} {C} {ver} is out|Deploy {C} to {P} {P}|{C} {C} and {C} {C} cost more|{P} {P} region is down|Made in {P} {P}|New {T} for {C} {C}
+Open {T}, then choose {T} and press {U}|Go to {T} > {T}|The {T} dialog shows {n} rows|{G} {o} the {w}?|{G} {O}: {n}|{G} {U} in {n}|{G} {O}; {G} {U} for {w}|{G} {O}?|- {G} {O}|{G} {O} on {n}|* {G} {U} {O}|Then I'd {v} it|Now I'll {v} the {w}|So I've {o} it|But I'm {o}|Here we'd {v} {W}.|{G} {O} in {U} {U}|{G} {U} to {U} {U}|{G} {O}, {O} {G}|{O} {G} mode|{G} {O} {n} times|Click {U} in the {T} panel|{G} {O}|Rule: {G} {O} when idle|{U} {O} {U}|{T}: {n}|= {T} =|## {T}|{T}⏎======|Status: {U} {O}|{UU} {UU}|{UU} {CC} {UU}|== {CC} {UU} ==|{UU} {UU}: {n}|--- {UU} {CC} KEY ---|The {U} {O} is {o}|Use {C} {C} with {C}|{C} {C} on {C} {C}|we moved from {C} {C} to {C} {C}|{C} {C} {ver} is out|Deploy {C} to {P} {P}|{C} {C} and {C} {C} cost more|{P} {P} region is down|Made in {P} {P}|New {T} for {C} {C}
 {n2}-{n2}-{n2} {n2}.{n2}|offset {long} limit {n}|built {year}.{n2}.{n2}-{n} from {n6}|{w} {year}.{n1}.{n2}-{n4} {w} {n4}-{n6}|ref {n4}-{n6}|order {n4}-{n6}|po {n5}-{n5}|build {n6}-{n4} order {n6}|{w} {n4}-{n6}|{w}: {n4}-{n6}, {w}: {n6}.{n3}|finished in {n2}.{n} s (pid {n5})|epoch {ts}|epoch_ms={ts}{n3}|span {hex}-{n}-{hex}|bind 10.{n2}.{n2}.{n2}:{n5}|192.168.{n2}.{n2}|HEAD is now at {hex}|corr={hex}-{n4}-{n4}|{hex}{hex}{hex}{hex}  {path}|{year}-0{n1}-1{n1}T0{n1}:16:24Z|{year}-0{n1}-1{n1} 14:37:52,{n3} {U} {w}|[{year}/1{n0}/0{n1} 09:{n2}:{n2}] {o} {w} took {n}
 {n4} {n4} {n4} {n4}|{n3} {n3} {n3}|{n3} {n4} {n5}|row {n} of {long}|{n2} {n3} {n3} rows|memory {long} {long} {n}|uid={n4} gid={n4} groups={n4}|card {n4}-{n4}-{n4}-{n4}|ISBN 978-{n1}-{n4}-{n4}-{n1}|doi:10.{n4}/{long}|SKU {AA}{n6}|flight {AA}{n4}|order {long}{n1}, invoice {n5}{n}|ticket {n}-{n5}|part no. {AA}-{n4}-{n3}|serial {AA}{long}|version {n3}.{n3}.{n3}.{n3}|{ver} -> {ver}|tracking {long}{n5}|{n8}{A} is the batch|error 0x{hex}|case {n3}-{n2}-{n4} closed|port {n5} size {long}|{long},{n},{n},{n}|id={long}{long}|key {n5}{n5}{n5}{n3}
   at {W}.{v}({W}.java:{n})|{path}:{n}:{n1}: error: expected ';'|Traceback: {W}Error in {path}|assert {v}({n}) == {n}|{w} = {W}({n}, {n2})|const { {w} } = await {v}{W}()|from {w}.{w} import {W}|from {w}.{w} import {W}, {W}|use {w}::{ {W}, {W} };|import {W}, {W} from "{w}"|class {W}({W}): pass|new {W}<{W}>()|throw new {W}Exception("{w} {n}")|return {W}.{v}({w})|SELECT {w}, SUM({w}) FROM {w} GROUP BY 1|-rw-r--r-- 1 root root {n} Jan {n2} 12:{n2} {w}.{w}|{W} {W} = {w}|{W} and {W} both call {v}_{w}|Then {W} calls {W}.
 +{n},{n1} -{n},{n1}|diff --git a/{path} b/{path}|func ({w} *{W}) {v}({w} int)|impl {W} for {W}|if ({w} > {n}) return {n}|CREATE INDEX ON {w}|kubectl get pods -n {w}|{w}-{hex}-{hex} {n1}/{n1} Ready {n}m|FROM {w}:{ver} AS {w}|RUN apt-get update|HTTP/1.1 {n3} Not Found|GET /{w}/{n} 200 {n}ms|Accept: text/html; q=0.{n1}|User-Agent: Mozilla/5.0 (X11; Linux)|{O} {o} the {w}.|The {W} {o} every {w}.|A {o} {w} may {v} twice.|I {v} the {w} because it was {o}.|We should {v} {W} first.|Please {v} {path}.
 Bitte {dn} prüfen.|Das {dn} im {w} ist {o}.|Nach der {dn} dauert es {n} ms|Vor der {dn} bitte {dn} prüfen.|Bei der {dn} in {W} fehlt die {dn}.|Ohne {dn} keine {dn}.|Mit der {dn} {O} läuft {w}|Die {dn} von {W} ist {o}.|Seit der {dn} {ver} geht {w} nicht.|In der {dn} steht {n}.|Die Klasse {W} ruft {v}_{w} auf.|Der Dienst {w} antwortet mit {n}.|Erst das Backup prüfen, dann {v}.|Neue Version {ver} ausrollen|Siehe Abschnitt {n1} Tabelle {n1}|El {w} de {path} falla con {n}.|La clase {W} llama a {v}.|Primero revisa el {w}.|Le {w} dans {path} est vide.|La classe {W} appelle {v}.
-没有被{zv}|{zn}没有被{zv}，{za}{zv}|先{zv}{zn}，然后{zv}{zn}。|来自{zn}的{zn}|{zn}为空时{zn}会{zv}|{zv}时{zv}|在{zv}{zn}时{zv}。|都会{zv}{zn}，{za}{zv}|需要{zv}{zn}的{zn}，否则{zv}。|直接{zv}就行|为什么{zn}{za}{zv}{zn}？|{zn}从来没有{zv}过{zn}。|我{za}{zv}{zn}，{za}{zv} {W}|把{zn}的{zn}{zv}成 {n}|{W} 和 {W} 都{zv}{zn}|{zn}里说{zn}{za}{zv}，这和 {path} 不一致。|{za}{zv}{zn}|{zv}{zn}|{zn}{zv}|{zn}|{zv}|{za}{zv}，再{zv}{zn}。|下面：{zv}{zn}，把 {W} 换成 {w}。|{zn}为空会报错，要{zv}{zn}。|请把{zn}{zv}一下|由{zn}{zv}|让{zn}{za}{zv}|{zn}和{zn}{za}{zv}|找{zn}的{zn}|{zn}：{zv}中|{zn}：{zn}|是{zn}的问题|对{zn}{zv}时，{zn}{za}{zv}。|{za}{zv} {W}，{za}{zv}。|给{zn}{zv}{n}次|{zn}从 {n} 到 {n2}，{zn}已{zv}|向{zn}{zv}{zn}|被{zn}{zv}过|为{zn}{zv}{zn}|问题是{zn}{zv}|用户{zv}了{zn}|{zn}{zv} ，{za}{zv}|这个{w}的默认值是 {n}。|把超时时间改成 {n} 毫秒|单元测试全部通过|数据库连接失败，请检查配置|用户名和密码不能为空|任务已经完成|缓存命中率下降到 {n2}|函数返回空值时会报错|部署到生产环境之前先备份|请等待 {n} 秒|索引|配置|登录失败|查看日志|重构代码|更新文档|添加测试|第 {n} 行|需要管理员权限，由系统处理。|性能提升|内存不足|合并请求|任何人都可以访问|文件|高可用|和平台对接|常见问题|马上重启|于是超时|成功|方法名|包名|程序|时间|金额|计数器|密钥是 {hex} 不要泄露|向上取整|使用方法：{w}|和线程池一样
+{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs}|{zs} {W}|{zs} {path} {zs}|{W} {zs}|{zs} {n}|{zn}：{zs}|这个{w}的默认值是 {n}。|把超时时间改成 {n} 毫秒|单元测试全部通过|数据库连接失败，请检查配置|用户名和密码不能为空|任务已经完成|缓存命中率下降到 {n2}|函数返回空值时会报错|部署到生产环境之前先备份|请等待 {n} 秒|索引|配置|登录失败|查看日志|重构代码|更新文档|添加测试|第 {n} 行|需要管理员权限，由系统处理。|性能提升|内存不足|合并请求|任何人都可以访问|文件|高可用|和平台对接|常见问题|马上重启|于是超时|成功|方法名|包名|程序|时间|金额|计数器|密钥是 {hex} 不要泄露|向上取整|使用方法：{w}|和线程池一样
 id,full_name,mail,tel|name;street;city|first_name last_name|Best,|Regards,|Cheers|Thanks!|BEGIN {U}|END {U}|Step {n1}: {U} the {w}|Fig. {n1}. {T} by {T}|Section {n1}.{n1} {T}|Note: {O} {o} {w}s.|{w}: {n}|- {w}|  {w}: {W}|TODO: {v} {w}"""
 TEXTS, DECOYS = ([t.replace("⏎", "\n") for t in group.replace("\n", "|").split("|") if t] for group in (_ITEMS, _PLAIN))
 
@@ -197,6 +197,16 @@ class Maker:
     def _title(self) -> str:
         return self.r.choice(self.words).capitalize()
 
+    def _chinese(self) -> str:
+        """A made sentence of one to three clauses of nouns, verbs and adverbs."""
+        r, n, v, a = self.r, lambda: self.r.choice(_CJK_NOUN), lambda: self.r.choice(_CJK_VERB), lambda: self.r.choice(_CJK_ADVERB)
+        clauses = (
+            lambda: n() + a() + v(), lambda: a() + v() + n(), lambda: v() + n() + "的" + n(), lambda: n() + "和" + n() + a() + v(), lambda: r.choice("由给让被向跟找问是替与同见") + n() + v(), lambda: n() + v(), lambda: v() + v(), lambda: a() + v(),
+            lambda: n() + r.choice("里上中下后前") + n() + v(), lambda: v() + r.choice("时后前") + v() + n(), lambda: n() + r.choice("是叫") + n(), lambda: a() + v() + r.choice("了过完"), lambda: n() + v() + self._num(2) + r.choice("次条行"),
+        )
+        parts = [r.choice(clauses)() for _ in range(r.choice((1, 1, 2, 3)))]
+        return r.choice(("，", "，", "。", " ")).join(parts) + r.choice(("", "。", "？"))
+
     def _filler(self, name: str) -> str:
         r, n = self.r, self._num
         match name:
@@ -250,6 +260,8 @@ class Maker:
                 return f"{r.randint(0, 20)}.{r.randint(0, 40)}.{r.randint(0, 9)}"
             case "A" | "AA":
                 return "".join(r.choice("ABCDEFGHKLMNPRST") for _ in name)
+            case "zs":
+                return self._chinese()
             case "zn":
                 return r.choice(_CJK_NOUN)
             case "zv":
